@@ -80,3 +80,21 @@ def size_of(spark: SparkSession, path: str) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, wherever they run; once for an application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    where = tempfile.mkdtemp(prefix="plateworks-ship-")
+    atexit.register(shutil.rmtree, where, ignore_errors=True)
+    name = os.path.basename(here)
+    stage = shutil.copytree(here, f"{where}/stage/{name}", ignore=shutil.ignore_patterns("__pycache__"))
+    made = shutil.make_archive(f"{where}/{name}-{app}", "zip", os.path.dirname(stage), name)
+    spark.sparkContext.addPyFile(made)
+    _SHIPPED.add(app)
