@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateworks.llm import history, splits
+from plateworks.llm import history, splits, survivors
 from plateworks.runtime import Cut, new_path, table
 
 TARGETS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -45,7 +45,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.same_paper_pairs(items, links)
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found}
+FIELDS = ("caption", "reviewer", "figure_number", "caption_kind")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, field_name, record_no): the best record of each image, and of each field the best that has it."""
+    rows = survivors.candidates(
+        table(spark, sf_dir, "training_records"), survivors.image_key(F.col("image_id")), "record_no", survivors.review_trust(), {f: [f] for f in FIELDS}
+    )
+    return survivors.choose(rows, FIELDS).select(F.col("key").alias("image_id"), F.col("bundle").alias("field_name"), F.col("record").alias("record_no"))
+
+
+BUNDLES = {"caption_text": ["caption"], "label": ["caption_kind", "figure_number"], "review": ["reviewer", "reviewed_at"]}
+
+
+def p3_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(image_id, bundle, record_no): whole bundles, where the caption determines kind and number of the figure."""
+    rows = survivors.candidates(
+        table(spark, sf_dir, "training_records"), survivors.image_key(F.col("image_id")), "record_no", survivors.review_trust(), BUNDLES
+    )
+    return survivors.choose(rows, list(BUNDLES), [("caption_text", "label")]).select(
+        F.col("key").alias("image_id"), "bundle", F.col("record").alias("record_no")
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p3_found": p3_found, "p3_bundles": p3_bundles}
 
 _DIGEST = "nullif(regexp_extract(lower(%s), '(?:^|[^0-9a-f]|[a-z]{2,}[^0-9a-f])([0-9a-f]{%d})(?:[^0-9a-f]|$)', 1), '')"
 
@@ -69,5 +93,23 @@ comp AS (SELECT n, min(s) AS c FROM walk GROUP BY n),
 x AS (SELECT coalesce(c, record_no) AS c, sample_id, coalesce('=' || source_group_id, '0') AS g FROM r LEFT JOIN comp ON n = record_no),
 big AS (SELECT c, min(sample_id) AS a FROM x GROUP BY c HAVING count(DISTINCT sample_id) > 1 AND count(DISTINCT g) > 1)
 SELECT DISTINCT a AS sample_id_a, sample_id AS sample_id_b FROM x JOIN big USING (c) WHERE sample_id > a
+""",
+    "p3_found": """
+WITH r AS (
+  SELECT DISTINCT record_no, 'img_' || nullif(regexp_extract(lower(image_id), '([0-9a-f]{64})', 1), '') AS image_id,
+    CASE lower(trim(review_status)) WHEN 'verified' THEN 2 WHEN 'ambiguous' THEN 1 ELSE 0 END AS t0,
+    CASE WHEN annotation_complete THEN 1 ELSE 0 END AS t1, coalesce(annotation_version, 0) AS t2, reviewed_at AS t3,
+    caption, reviewer, figure_number, caption_kind
+  FROM training_records),
+g AS (SELECT image_id FROM r WHERE image_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT record_no) > 1),
+f AS (
+  SELECT image_id, 'record' AS field_name, record_no, t0, t1, t2, t3, 'x1' AS v FROM r
+  UNION ALL SELECT image_id, 'caption', record_no, t0, t1, t2, t3, caption FROM r
+  UNION ALL SELECT image_id, 'reviewer', record_no, t0, t1, t2, t3, reviewer FROM r
+  UNION ALL SELECT image_id, 'figure_number', record_no, t0, t1, t2, t3, figure_number FROM r
+  UNION ALL SELECT image_id, 'caption_kind', record_no, t0, t1, t2, t3, caption_kind FROM r)
+SELECT image_id, field_name, record_no FROM f JOIN g USING (image_id)
+WHERE v IS NOT NULL AND lower(trim(v)) NOT IN ('n/a', '-', '', 'none', 'null', '?', '(no caption)', 'tbd', 'unknown', chr(8212))
+QUALIFY row_number() OVER (PARTITION BY image_id, field_name ORDER BY t0 DESC, t1 DESC, t2 DESC, t3 DESC NULLS LAST, record_no DESC) = 1
 """,
 }
