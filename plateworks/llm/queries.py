@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateworks.llm import history, splits, survivors
+from plateworks.llm import canon, history, splits, survivors
 from plateworks.runtime import Cut, new_path, table
 
 TARGETS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -69,7 +69,19 @@ def p3_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p3_found": p3_found, "p3_bundles": p3_bundles}
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure with the one form of its caption and label."""
+    return canon.forms(table(spark, sf_dir, "figures")).select("figure_no", "canonical_caption", "canonical_label")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of figures whose captions and labels look the same but are not the same characters."""
+    return canon.look_alike_pairs(canon.forms(table(spark, sf_dir, "figures")))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p3_found": p3_found, "p3_bundles": p3_bundles,
+    "p5_found": p5_found, "p5_forms": p5_forms}
 
 _DIGEST = "nullif(regexp_extract(lower(%s), '(?:^|[^0-9a-f]|[a-z]{2,}[^0-9a-f])([0-9a-f]{%d})(?:[^0-9a-f]|$)', 1), '')"
 
