@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateworks.llm import canon, history, splits, survivors
+from plateworks.llm import canon, encode, history, leaks, reading, splits, survivors
 from plateworks.runtime import Cut, new_path, table
 
 TARGETS = {"train": 0.8, "validation": 0.1, "test": 0.1}
@@ -79,9 +79,56 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.look_alike_pairs(canon.forms(table(spark, sf_dir, "figures")))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, ids) of every document by byte_bpe_50k."""
+    return encode.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) put together again from the ids."""
+    return encode.decode_corpus(p6_ids(spark, sf_dir))
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the documents hold passages of the evaluation items."""
+    return leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): documents that hold a passage of an evaluation item."""
+    return p7_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without the leaked passages."""
+    docs = table(spark, sf_dir, "documents")
+    return leaks.remove_spans(docs, p7_spans(spark, sf_dir))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document, with the shares of its sentences."""
+    docs = table(spark, sf_dir, "documents")
+    model = reading.fit(docs, table(spark, sf_dir, "reading_labels"), table(spark, sf_dir, "reading_anchors"))
+    return reading.levels(docs, model)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id) of the English documents of level 5."""
+    return p8_levels(spark, sf_dir).where("level = 5").select("doc_id").distinct()
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents of each kind have each level."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "kind")
+    return p8_levels(spark, sf_dir).select("doc_id", "level").join(docs, "doc_id").groupBy("kind", "level").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p3_found": p3_found, "p3_bundles": p3_bundles,
-    "p5_found": p5_found, "p5_forms": p5_forms}
+    "p5_found": p5_found, "p5_forms": p5_forms,
+    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned,
+    "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
+}
 
 _DIGEST = "nullif(regexp_extract(lower(%s), '(?:^|[^0-9a-f]|[a-z]{2,}[^0-9a-f])([0-9a-f]{%d})(?:[^0-9a-f]|$)', 1), '')"
 
@@ -124,4 +171,5 @@ SELECT image_id, field_name, record_no FROM f JOIN g USING (image_id)
 WHERE v IS NOT NULL AND lower(trim(v)) NOT IN ('n/a', '-', '', 'none', 'null', '?', '(no caption)', 'tbd', 'unknown', chr(8212))
 QUALIFY row_number() OVER (PARTITION BY image_id, field_name ORDER BY t0 DESC, t1 DESC, t2 DESC, t3 DESC NULLS LAST, record_no DESC) = 1
 """,
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
