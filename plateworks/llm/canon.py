@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plateworks.runtime import ship
+from plateworks.runtime import cut, ship
 
 #: Letters of other scripts with the shape of a Latin letter, by that letter.
 LOOK_ALIKES = {
@@ -119,9 +119,9 @@ def look_alike_pairs(formed: DataFrame) -> DataFrame:
     aggregate before the join, so exact copies, however many, are never paired with each other.
     """
     label = F.coalesce("canonical_label", F.lit(""))
-    rows = formed.where("canonical_caption <> ''").select(
-        "figure_no", "canonical_caption", label.alias("label"), F.struct("caption", F.coalesce("caption_label", F.lit(""))).alias("raw")
-    )
+    rows = cut(formed.where("canonical_caption <> ''").select(
+        "figure_no", "canonical_caption", label.alias("label"), F.struct("caption", F.coalesce("caption_label", F.lit("")).alias("label")).alias("raw")
+    ), "forms")
     key = ["canonical_caption", "label"]
     spelled = rows.groupBy(*key, "raw").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     kept = rows.join(spelled, key)

@@ -26,7 +26,7 @@ from plateworks.runtime import Cut, ship
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = os.environ.get("PLATEWORKS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
-ROWS = 200_000
+ROWS = 50_000
 
 
 def vocabulary_text(path: str = DEFAULT_VOCABULARY) -> str:
