@@ -8,9 +8,8 @@ rows, and no pair comes out twice. Rows with null coordinates meet nothing.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from plateworks.functions.rects import (
     Rect, area_similarity, intersection_area, iou, overlap_length, smaller_coverage, union, x_gap, x_overlap, y_gap, y_overlap,
 )
 from plateworks.operators.components import connected_components
-from plateworks.runtime import ship
+from plateworks.operators.folds import fold_groups
 
 CELL = 200.0
 PAGE = ("doc", "page")
@@ -232,15 +231,14 @@ def visual_evidence(regions: DataFrame, images: DataFrame) -> DataFrame:
 # -- folds: the order decides, so each group is worked through in one kernel --
 
 
-def _consume(group: pd.DataFrame) -> pd.DataFrame:
-    taken, out = set(), []
-    for cap, rows in group.sort_values(["page", "caption_y0", "caption_x0", "caption_id"]).groupby(["page", "caption_id"], sort=False):
-        free = rows[[(cap[0], i) not in taken for i in rows["image_id"]]]
-        if len(free):
-            best = free.sort_values(["gap", "off", "image_id"]).iloc[0]
-            taken.add((cap[0], best["image_id"]))
-            out.append((best["doc"], cap[0], cap[1], best["image_id"]))
-    return pd.DataFrame(out, columns=["doc", "page", "caption_id", "image_id"])
+def _consume(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+    """Rows by caption in reading order, its candidates best first."""
+    taken, served = set(), None
+    for r in rows:
+        if r["caption_id"] != served and r["image_id"] not in taken:
+            taken.add(r["image_id"])
+            served = r["caption_id"]
+            yield (*key, served, r["image_id"])
 
 
 def consume_once(images: DataFrame, captions: DataFrame) -> DataFrame:
@@ -248,37 +246,35 @@ def consume_once(images: DataFrame, captions: DataFrame) -> DataFrame:
 
     Only candidates go to the kernel: close pairs of one page, so a task holds the pairs of one page.
     """
-    ship(images.sparkSession)
     a, b = Rect.of("a", "_"), Rect.of("b", "_")
     pairs = near_pairs(tagged(images, "a"), tagged(captions, "b"), _close_above(a, b), 55).select(
         *PAGE, F.col("b_id").alias("caption_id"), F.col("a_id").alias("image_id"), F.col("b_y0").alias("caption_y0"), F.col("b_x0").alias("caption_x0"),
         F.abs(b.y0 - a.y1).alias("gap"), F.abs(b.cx - a.cx).alias("off"),
     )
     kind = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return pairs.groupBy(*PAGE).applyInPandas(_consume, f"doc {kind['doc']}, page {kind['page']}, caption_id {kind['caption_id']}, image_id {kind['image_id']}")
-
-
-def _layers(group: pd.DataFrame) -> pd.DataFrame:
-    kept: list[list] = []
-    for r in group.sort_values(["y0", "x0", "id"]).itertuples(index=False):
-        box = [r.x0, r.y0, r.x1, r.y1]
-        area = (box[2] - box[0]) * (box[3] - box[1])
-        for k in kept:
-            o = k[0]
-            inter = max(0.0, min(o[2], box[2]) - max(o[0], box[0])) * max(0.0, min(o[3], box[3]) - max(o[1], box[1]))
-            if inter <= 0:
+    order = ["caption_y0", "caption_x0", "caption_id", "gap", "off", "image_id"]
+    return fold_groups(pairs, PAGE, order, _consume, f"doc {kind['doc']}, page {kind['page']}, caption_id {kind['caption_id']}, image_id {kind['image_id']}")
+
+
+def _layers(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
+    """Rows in reading order; each goes into the first kept picture that it is a layer of."""
+    kept: list[tuple[list, list]] = []
+    for r in rows:
+        box = [r[c] for c in ("x0", "y0", "x1", "y1")]
+        for own, ids in kept:
+            shared = [min(own[i + 2], box[i + 2]) - max(own[i], box[i]) for i in (0, 1)]
+            if min(shared) <= 0:
                 continue
-            other = (o[2] - o[0]) * (o[3] - o[1])
-            small, large = min(area, other), max(area, other)
-            edge = max(abs(x - y) for x, y in zip(o, box))
-            if inter / max(1.0, small) >= 0.92 and (small / max(1.0, large) >= 0.62 or edge <= 3.0):
-                k[0] = [min(o[0], box[0]), min(o[1], box[1]), max(o[2], box[2]), max(o[3], box[3])]
-                k[1].append(r.id)
+            small, large = sorted(((q[2] - q[0]) * (q[3] - q[1]) for q in (own, box)))
+            alike = small / max(1.0, large) >= 0.62 or max(abs(x - y) for x, y in zip(own, box)) <= 3.0
+            if shared[0] * shared[1] / max(1.0, small) >= 0.92 and alike:
+                own[:] = [min(own[0], box[0]), min(own[1], box[1]), max(own[2], box[2]), max(own[3], box[3])]
+                ids.append(r["id"])
                 break
         else:
-            kept.append([box, [r.id]])
-    out = [(group["doc"].iat[0], group["page"].iat[0], min(ids), sorted(ids), *box) for box, ids in kept]
-    return pd.DataFrame(out, columns=["doc", "page", "id", "members", "x0", "y0", "x1", "y1"])
+            kept.append((box, [r["id"]]))
+    for box, ids in kept:
+        yield (*key, min(ids), sorted(ids), *box)
 
 
 def merge_layers(images: DataFrame) -> DataFrame:
@@ -286,10 +282,10 @@ def merge_layers(images: DataFrame) -> DataFrame:
 
     Blocks that overlap nothing never reach the kernel; the others go by page, as the order on the page decides.
     """
-    ship(images.sparkSession)
     kind = {f.name: f.dataType.simpleString() for f in images.schema}
     pairs = overlaps(images).where("coverage >= 0.5").select(*PAGE, F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
     schema = f"doc {kind['doc']}, page {kind['page']}, id {kind['id']}, members array<{kind['id']}>, x0 double, y0 double, x1 double, y1 double"
-    folded = images.join(pairs, [*PAGE, "id"], "left_semi").select(*PAGE, "id", "x0", "y0", "x1", "y1").groupBy(*PAGE).applyInPandas(_layers, schema)
+    folded = images.join(pairs, [*PAGE, "id"], "left_semi").select(*PAGE, "id", "x0", "y0", "x1", "y1")
+    folded = fold_groups(folded, PAGE, ["y0", "x0", "id"], _layers, schema)
     alone = images.join(pairs, [*PAGE, "id"], "left_anti").select(*PAGE, "id", F.array("id").alias("members"), "x0", "y0", "x1", "y1")
     return folded.unionByName(alone)
