@@ -6,7 +6,7 @@ for null. White space is Unicode's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space, in a form that Java's and RE2's expressions share.
@@ -169,16 +169,13 @@ def ocr_text(c: Column) -> Column:
 
 def page_numbers(selector: Column) -> Column:
     """The pages of a selector like `1,3-5`, sorted and once each; raises for anything else."""
-    part = F.transform(F.split(selector, ","), F.trim)
+    part = F.transform(F.split(selector, ","), lambda p: F.trim(p))
     ends = F.transform(part, lambda p: F.transform(F.split(p, "-"), lambda x: F.trim(x).try_cast("int")))
     bad = F.exists(ends, lambda e: (F.size(e) > 2) | F.exists(e, lambda x: x.isNull() | (x < 1)) | (e[0] > F.element_at(e, -1)))
     pages = F.array_sort(F.array_distinct(F.flatten(F.transform(ends, lambda e: F.sequence(e[0], F.element_at(e, -1))))))
     return F.when(selector.isNull(), F.lit(None)).when(bad, F.raise_error(F.concat(F.lit("bad page selector: "), selector)).cast("array<int>")).otherwise(pages)
 
 
-_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
 def _between(a: Column, b: Column) -> Column:
     """Letters from a to b as an array; empty if the cases differ or the order is wrong."""
     fine = ((a == F.upper(a)) == (b == F.upper(b))) & (F.ascii(a) <= F.ascii(b))
@@ -191,52 +188,59 @@ def _spans(text: Column, pattern: str) -> Column:
     return F.flatten(F.zip_with(first, last, lambda a, b: F.when(b == "", F.array(a)).otherwise(_between(a, b))))
 
 
-def expected_panel_labels(caption: Column) -> Column:
-    """The panel letters that a caption names, if they are one sequence from A (or a) on; else the one panel it names; else none.
+def with_expected_labels(df: DataFrame, caption: str = "caption", to: str = "labels") -> DataFrame:
+    """df with the panel letters that a caption names, if they are one sequence from A (or a) on; else the one panel it names; else none.
 
-    Evidence: letters in brackets, `a)`, `panel A-C`, and letters that begin sentences if there are three or more with A.
+    Evidence: letters in brackets, `a)`, `panel A-C`, and letters that begin sentences if there are three or
+    more with A. The steps are columns of their own, so that none is worked out twice. Null captions name none.
     """
-    t = F.translate(clean_text(caption), "–—−‑‒", "-----")
+    none = F.array().cast("array<string>")
     item = "[A-Za-z](?:\\s*-\\s*[A-Za-z])?"
+    span = "([A-Za-z])(?:\\s*-\\s*([A-Za-z]))?"
+    after = "(?=\\s+[A-Za-z0-9])"
+    single = "(?:^|[.!?;:])\\s*\\(?([A-Z])\\)?(?:\\s*-\\s*\\(?([A-Z])\\)?)?" + after
+    pair = "(?:^|[.!?;:])\\s*\\(?([A-Z])\\)?\\s*,\\s*\\(?([A-Z])\\)?" + after
 
     def group(g: Column) -> Column:
-        g = F.regexp_replace(F.regexp_replace(g, "(?i),\\s*(?:and|or)\\s+", ","), "\\s*&\\s*", ",")
-        fine = g.rlike(f"(?i)^\\s*{item}(?:\\s*(?:,|;|\\b(?:and|or)\\b)\\s*{item})*\\s*$")
-        flat = F.regexp_replace(g, "(?i)\\b(?:and|or)\\b", ",")
         ends = F.zip_with(
-            F.regexp_extract_all(flat, F.lit("([A-Za-z])(?:\\s*-\\s*([A-Za-z]))?"), 1),
-            F.regexp_extract_all(flat, F.lit("([A-Za-z])(?:\\s*-\\s*([A-Za-z]))?"), 2),
-            lambda a, b: F.when(b == "", F.array(a)).otherwise(_between(a, b)),
+            F.regexp_extract_all(g, F.lit(span), 1), F.regexp_extract_all(g, F.lit(span), 2), lambda a, b: F.when(b == "", F.array(a)).otherwise(_between(a, b))
         )
-        return F.when(fine & ~F.exists(ends, lambda e: F.size(e) == 0), F.flatten(ends)).otherwise(F.array().cast("array<string>"))
-
-    bracketed = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("(?<![A-Za-z0-9])\\(([^()]{1,24})\\)"), 1), group))
-    closed = F.regexp_extract_all(t, F.lit("(?<![A-Za-z0-9])([A-Za-z])\\s*\\)(?=\\s|$)"), 1)
-    named = F.array_distinct(_spans(t, "(?i)\\bpanels?\\s*\\(?([A-Za-z])\\)?(?:\\s*-\\s*\\(?([A-Za-z])\\)?)?"))
-    hard = F.regexp_replace(t, "\\u00ad", "")
-    after = "(?=\\s+[A-Za-z0-9])"
-    leading = _spans(hard, "(?:^|[.!?;:])\\s*\\(?([A-Z])\\)?(?:\\s*-\\s*\\(?([A-Z])\\)?)?" + after)
-    pair = "(?:^|[.!?;:])\\s*\\(?([A-Z])\\)?\\s*,\\s*\\(?([A-Z])\\)?" + after
-    bare = F.array_distinct(F.concat(leading, F.regexp_extract_all(hard, F.lit(pair), 1), F.regexp_extract_all(hard, F.lit(pair), 2)))
-    bare = F.when((F.size(bare) >= 3) & F.array_contains(bare, "A"), bare).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(bracketed, closed, named, bare))
+        return F.when(F.exists(ends, lambda e: F.size(e) == 0), none).otherwise(F.flatten(ends))
 
     def run(letters: Column, start: str, least: int) -> Column:
         """The sorted letters if they are a sequence from the start on, else empty."""
         s = F.array_sort(letters)
-        fine = (F.size(s) >= least) & (s[0] == start) & (F.ascii(F.element_at(s, -1)) - ord(start) + 1 == F.size(s))
-        return F.when(fine, s).otherwise(F.array().cast("array<string>"))
-
-    upper = run(F.filter(every, lambda x: x == F.upper(x)), "A", 2)
-    lower = run(F.filter(every, lambda x: x == F.lower(x)), "a", 2)
-    folded = run(F.array_distinct(F.transform(every, F.upper)), "A", 1)
-    longest = F.greatest(F.size(upper), F.size(lower))
-    as_lower = (longest > 0) & (F.size(upper) < F.size(lower))
-    return (
-        F.when(caption.isNull(), F.array().cast("array<string>"))
-        .when((F.size(folded) > 0) & (F.size(folded) > longest), F.when(as_lower, F.transform(folded, F.lower)).otherwise(folded))
-        .when((F.size(upper) > 0) & (F.size(lower) == 0), upper)
-        .when((F.size(lower) > 0) & (F.size(upper) == 0), lower)
-        .when(F.size(named) == 1, named)
-        .otherwise(F.array().cast("array<string>"))
+        fine = (F.size(s) >= least) & (F.get(s, F.lit(0)) == start) & (F.ascii(F.element_at(s, -1)) - ord(start) + 1 == F.size(s))
+        return F.when(fine, s).otherwise(none)
+
+    fine_group = f"(?i)^\\s*{item}(?:\\s*(?:,|;|\\b(?:and|or)\\b)\\s*{item})*\\s*$"
+    steps = [
+        ("_t", F.translate(clean_text(F.col(caption)), "–—−‑‒", "-----")),
+        ("_g", F.transform(
+            F.regexp_extract_all("_t", F.lit("(?<![A-Za-z0-9])\\(([^()]{1,24})\\)"), 1),
+            lambda g: F.regexp_replace(F.regexp_replace(g, "(?i),\\s*(?:and|or)\\s+", ","), "\\s*&\\s*", ","),
+        )),
+        ("_g", F.transform(F.filter("_g", lambda g: g.rlike(fine_group)), lambda g: group(F.regexp_replace(g, "(?i)\\b(?:and|or)\\b", ",")))),
+        ("_named", F.array_distinct(_spans(F.col("_t"), "(?i)\\bpanels?\\s*\\(?([A-Za-z])\\)?(?:\\s*-\\s*\\(?([A-Za-z])\\)?)?"))),
+        ("_hard", F.regexp_replace("_t", "\\u00ad", "")),
+        ("_bare", F.array_distinct(F.concat(
+            _spans(F.col("_hard"), single), F.regexp_extract_all("_hard", F.lit(pair), 1), F.regexp_extract_all("_hard", F.lit(pair), 2)
+        ))),
+        ("_every", F.array_distinct(F.concat(
+            F.flatten("_g"), F.regexp_extract_all("_t", F.lit("(?<![A-Za-z0-9])([A-Za-z])\\s*\\)(?=\\s|$)"), 1), F.col("_named"),
+            F.when((F.size("_bare") >= 3) & F.array_contains("_bare", "A"), F.col("_bare")).otherwise(none),
+        ))),
+        ("_u", run(F.filter("_every", lambda x: x == F.upper(x)), "A", 2)),
+        ("_l", run(F.filter("_every", lambda x: x == F.lower(x)), "a", 2)),
+        ("_f", run(F.array_distinct(F.transform("_every", lambda x: F.upper(x))), "A", 1)),
+    ]
+    out = df
+    for name, c in steps:
+        out = out.withColumn(name, c)
+    u, low, folded = F.size("_u"), F.size("_l"), F.size("_f")
+    found = (
+        F.when((folded > 0) & (folded > F.greatest(u, low)), F.when(low > u, F.transform("_f", lambda x: F.lower(x))).otherwise(F.col("_f")))
+        .when((u > 0) & (low == 0), F.col("_u")).when((low > 0) & (u == 0), F.col("_l"))
+        .when(F.size("_named") == 1, F.col("_named")).otherwise(none)
     )
+    return out.withColumn(to, F.when(F.col(caption).isNull(), none).otherwise(found)).drop(*{name for name, _ in steps})
