@@ -77,7 +77,7 @@ def summary(records: DataFrame) -> DataFrame:
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows without those that new has, and the new ones: a rewrite for tables without MERGE."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new)
 
 
 def stale_ready(ready_ids: DataFrame, records: DataFrame) -> DataFrame:
