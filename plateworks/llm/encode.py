@@ -119,9 +119,9 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     known = Cut(dictionary(split.select("word").distinct(), vocabulary), "words").df
     placed = split.join(known, "word").select("key", F.struct("at", "ids").alias("x"))
     spread = F.flatten(F.transform("x", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["ids"].alias("ids")))))
-    whole = placed.groupBy("key").agg(F.collect_list("x").alias("x")).select(
-        "key", F.flatten(F.transform(F.array_sort(spread), lambda y: y["ids"])).alias("ids")
-    )
+    whole = placed.groupBy("key").agg(F.collect_list("x").alias("x")).withColumn("s", F.array_sort(spread))
+    first = F.filter("s", lambda y, i: (i == 0) | (y["p"] != F.get(F.col("s"), i - 1)["p"]))  # a repeated row has each place twice
+    whole = whole.select("key", F.flatten(F.transform(first, lambda y: y["ids"])).alias("ids"))
     kind = docs.schema[key].dataType
     return (
         once.select(F.col(key).cast("bigint").alias("key")).distinct().join(whole, "key", "left")

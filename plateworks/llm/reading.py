@@ -96,7 +96,7 @@ def train(anchors: list[tuple[int, str]], labelled: list[tuple[list[int], str]],
     ids = np.array([words.setdefault(w, len(words)) for u in units for w in u], dtype=np.int64)
     unit_of = np.repeat(np.arange(len(units)), [len(u) for u in units])
     weight = np.zeros((len(units), GRADES))
-    weight[np.arange(seeds), grade] = 1
+    weight[np.arange(seeds), np.array(grade, dtype=int)] = 1
     rated = np.zeros((len(labelled), GRADES))
     for k, (gs, _) in enumerate(labelled):
         for g in gs:
