@@ -24,13 +24,14 @@ CELL = 200.0
 PAGE = ("doc", "page")
 
 
-def _cells(df: DataFrame, tag: str, reach: float) -> DataFrame:
+def _cells(df: DataFrame, tag: str, reach: float | tuple[Column, Column]) -> DataFrame:
     r = Rect.of(tag, "_")
+    rx, ry = reach if isinstance(reach, tuple) else (reach, reach)
     at = lambda c: F.floor(c / CELL).cast("int")
     return (
-        df.withColumn(f"{tag}_cx", at(r.x0 - reach)).withColumn(f"{tag}_cy", at(r.y0 - reach))
-        .withColumn("cell_x", F.explode(F.sequence(f"{tag}_cx", at(r.x1 + reach))))
-        .withColumn("cell_y", F.explode(F.sequence(f"{tag}_cy", at(r.y1 + reach))))
+        df.withColumn(f"{tag}_cx", at(r.x0 - rx)).withColumn(f"{tag}_cy", at(r.y0 - ry))
+        .withColumn("cell_x", F.explode(F.sequence(f"{tag}_cx", at(r.x1 + rx))))
+        .withColumn("cell_y", F.explode(F.sequence(f"{tag}_cy", at(r.y1 + ry))))
     )
 
 
@@ -39,9 +40,10 @@ def tagged(df: DataFrame, tag: str, keys: Sequence[str] = PAGE) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in keys])
 
 
-def near_pairs(left: DataFrame, right: DataFrame, condition: Column, reach: float = 0.0, keys: Sequence[str] = PAGE) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, condition: Column, reach: float | tuple[Column, Column] = 0.0, keys: Sequence[str] = PAGE) -> DataFrame:
     """Pairs of one page whose rectangles are at most `reach` apart on both axes and fulfil the condition.
 
+    reach is a number, or two Columns of the left table for the two axes.
     left and right are tagged tables; the condition must not hold beyond the reach.
     """
     (lt,) = {c.rpartition("_x0")[0] for c in left.columns if c.endswith("_x0")}
@@ -87,8 +89,10 @@ def neighbors(images: DataFrame, captions: DataFrame) -> DataFrame:
     column = ~touch & ~row & (x_overlap(a, b) >= 0.45) & (gy <= F.greatest(F.lit(10.0), F.least(a.height, b.height) * 0.20))
     other = F.col("a_owner").isNotNull() & F.col("b_owner").isNotNull() & (F.col("a_owner") != F.col("b_owner"))
     kind = F.when(touch & ~backdrop, "touch").when(row, "row").when(column, "column")
+    # a gap counts against the smaller side, so the left block's own size bounds it
+    reach = (F.greatest(F.lit(10.0), a.width * 0.25), F.greatest(F.lit(10.0), a.height * 0.20))
     pairs = near_pairs(
-        tagged(owned, "a"), tagged(owned, "b"), (F.col("a_id") < F.col("b_id")) & ~F.coalesce(other, F.lit(False)) & kind.isNotNull(), 300
+        tagged(owned, "a"), tagged(owned, "b"), (F.col("a_id") < F.col("b_id")) & ~F.coalesce(other, F.lit(False)) & kind.isNotNull(), reach
     ).withColumn("kind", kind)
     u = union(a, b)
     spans = pairs.where("kind <> 'touch'").select(

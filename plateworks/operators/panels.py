@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plateworks.operators import pixels
-from plateworks.runtime import ship
+from plateworks.runtime import ship, spread
 
 PANEL_SCHEMA = (
     "key bigint, letter string, x0 int, y0 int, x1 int, y1 int, path string, confidence double, filled double, label_x double, label_y double, "
@@ -76,7 +76,7 @@ def draw_figures(figures: DataFrame) -> DataFrame:
                 rows.append((key, image.shape[0], image.shape[1], image.tobytes(), labels))
             yield pd.DataFrame(rows, columns=["key", "height", "width", "data", "labels"])
 
-    return figures.mapInPandas(draw, "key bigint, height int, width int, data binary, labels array<struct<letter:string,x:double,y:double,w:double,h:double>>")
+    return spread(figures).mapInPandas(draw, "key bigint, height int, width int, data binary, labels array<struct<letter:string,x:double,y:double,w:double,h:double>>")
 
 
 def packed(embedding: Column) -> Column:

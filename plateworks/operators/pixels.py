@@ -138,21 +138,37 @@ def smooth(profile: np.ndarray, window: int) -> np.ndarray:
     return (total[window:] - total[:-window]) / window
 
 
-def _line(mask: np.ndarray, rect: tuple, vertical: bool, position: int, band: int) -> tuple[float, float]:
-    """Density of a line of a band, and the share of its pieces that are blank."""
-    x1, y1, x2, y2 = rect
-    lines = mask[y1:y2, max(x1, position - band) : min(x2, position + band + 1)] if vertical else mask[max(y1, position - band) : min(y2, position + band + 1), x1:x2].T
-    n = max(4, min(16, len(lines) // 25 if len(lines) >= 100 else 4))
-    pieces = [p.mean() if p.size else 1.0 for p in np.array_split(lines, n)]
-    return float(lines.mean()) if lines.size else 1.0, float(np.mean(np.array(pieces) < 0.035))
+def summed(mask: np.ndarray) -> np.ndarray:
+    """Summed-area table, one longer on each axis: the sum over any rectangle is four numbers of it."""
+    return np.pad(mask.astype(np.int64).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
 
 
-def best_cut(mask: np.ndarray, rect: tuple, vertical: bool, low: float, high: float, unit: float) -> dict | None:
-    """The best place for a cut between two labels: the emptiest line, or just before the next label where no gutter is clear."""
+def _line(table: np.ndarray, rect: tuple, vertical: bool, position: int, band: int) -> tuple[float, float]:
+    """Density of a line of a band, and the share of its pieces that are blank."""
+    x1, y1, x2, y2 = rect
+    if vertical:
+        a, b = max(x1, position - band), min(x2, position + band + 1)
+        along = table[y1 : y2 + 1, b] - table[y1 : y2 + 1, a]
+    else:
+        a, b = max(y1, position - band), min(y2, position + band + 1)
+        along = table[b, x1 : x2 + 1] - table[a, x1 : x2 + 1]
+    length, broad = len(along) - 1, b - a
+    if length <= 0 or broad <= 0:
+        return 1.0, 0.0
+    n = max(4, min(16, length // 25 if length >= 100 else 4))
+    ends = np.concatenate([[0], np.cumsum([length // n + (k < length % n) for k in range(n)])])
+    area = np.diff(ends) * broad
+    share = np.where(area > 0, np.diff(along[ends]) / np.maximum(1, area), 1.0)
+    return float((along[-1] - along[0]) / (length * broad)), float((share < 0.035).mean())
+
+
+def best_cut(table: np.ndarray, rect: tuple, vertical: bool, low: float, high: float, unit: float) -> dict | None:
+    """From a summed-area table the best place for a cut between two labels: the emptiest line, or just before the next label where no gutter is clear."""
     x1, y1, x2, y2 = rect
     if high - low < max(3, int(0.5 * unit)):
         return None
-    profile = mask[y1:y2, x1:x2].mean(axis=0 if vertical else 1)
+    ends = (table[y2, x1 : x2 + 1] - table[y1, x1 : x2 + 1]) if vertical else (table[y1 : y2 + 1, x2] - table[y1 : y2 + 1, x1])
+    profile = np.diff(ends) / max(1, (y2 - y1) if vertical else (x2 - x1))
     start = x1 if vertical else y1
     band = max(2, round(0.18 * unit))
     even = smooth(profile, 2 * band + 1)
@@ -163,7 +179,7 @@ def best_cut(mask: np.ndarray, rect: tuple, vertical: bool, low: float, high: fl
     empty = min(0.055, max(0.012, float(np.quantile(profile, 0.18)) * 1.35))
 
     def measure(i: int) -> dict:
-        density, blank = _line(mask, rect, vertical, start + i, band)
+        density, blank = _line(table, rect, vertical, start + i, band)
         a = b = i
         while a > lo and even[a - 1] <= empty:
             a -= 1
@@ -198,7 +214,7 @@ def xy_cut(mask: np.ndarray, labels: list[dict], unit: float) -> tuple[list[dict
     labels: letter, x, y, w, h. A leaf has rect, path (0 for the left or upper part) and letters; one with
     several letters could not be cut. The leaves tile the figure.
     """
-    leaves, cuts = [], []
+    leaves, cuts, table = [], [], summed(mask)
     stack = [((0, 0, mask.shape[1], mask.shape[0]), sorted(labels, key=lambda q: q["letter"]), ())]
     while stack:
         rect, own, path = stack.pop()
@@ -208,7 +224,7 @@ def xy_cut(mask: np.ndarray, labels: list[dict], unit: float) -> tuple[list[dict
             mid = lambda q: q[at] + 0.5 * q[side]  # noqa: B023, E731
             ordered = sorted(own, key=lambda q: (mid(q), q["letter"]))
             for a, b in zip(ordered, ordered[1:]):
-                c = best_cut(mask, rect, vertical, mid(a), min(mid(b), b[at]), unit)
+                c = best_cut(table, rect, vertical, mid(a), min(mid(b), b[at]), unit)
                 if c is None:
                     continue
                 parts = [[q for q in own if (mid(q) < c["pos"]) == near] for near in (True, False)]

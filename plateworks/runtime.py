@@ -98,3 +98,12 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(f"{where}/{name}-{app}", "zip", os.path.dirname(stage), name)
     spark.sparkContext.addPyFile(made)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before a costly kernel, if it comes in far fewer partitions than there are cores.
+
+    Large inputs have partitions enough and pass untouched, so only small tables are shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() < cores else df
