@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateworks.runtime import Cut, ship
+from plateworks.runtime import Cut, ship, spread
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,7 +88,7 @@ def pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
         if keys:
             yield flush()
 
-    return source.mapInArrow(split, "key bigint, word string, at array<int>")
+    return spread(source).mapInArrow(split, "key bigint, word string, at array<int>")
 
 
 def dictionary(words: DataFrame, vocabulary: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateworks.runtime import ship
+from plateworks.runtime import ship, spread
 
 N, LEAST, ONE_IN, BLOCK_WORDS = 6, 30, 8, 2_000_000
 
@@ -149,7 +149,7 @@ def leak_spans(
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    source = spread(docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")))
     schema = "key bigint, item_id bigint, start int, end int, words int, replaced int"
     kind = docs.schema[key].dataType
     out = None

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateworks.runtime import ship
+from plateworks.runtime import ship, spread
 
 GRADES = 5
 #: Bounds of the training sample: labelled documents, and characters of one of them.
@@ -186,4 +186,4 @@ def levels(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     kind = docs.schema[key].dataType
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
-    return source.mapInPandas(score, schema).withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
+    return spread(source).mapInPandas(score, schema).withColumn("key", F.col("key").cast(kind)).withColumnRenamed("key", key)
