@@ -272,7 +272,7 @@ SELECT job, record, label, CAST(ver AS INT) AS panel_version, CAST(CASE WHEN ok
   count(*) FILTER ({_ST} = 'proposed') AS proposed, count(*) FILTER ({_ST} = 'verified') AS verified, count(*) FILTER ({_ST} = 'ambiguous') AS ambiguous,
   count(*) FILTER (ready_for_training) AS ready_for_training, count(*) FILTER (ready_for_training AND lower(trim(annotation_mode)) = 'no_split') AS no_split,
   count(*) FILTER (ready_for_training AND lower(trim(annotation_mode)) IS DISTINCT FROM 'no_split') AS panel_box_samples,
-  coalesce(sum(human_panel_count), 0) AS candidate_panels, coalesce(sum(human_panel_count) FILTER (ready_for_training), 0) AS verified_panels FROM r""",
+  CAST(coalesce(sum(human_panel_count), 0) AS BIGINT) AS candidate_panels, CAST(coalesce(sum(human_panel_count) FILTER (ready_for_training), 0) AS BIGINT) AS verified_panels FROM r""",
     "training_manifest": f"""WITH {_R} SELECT record_no, sample_id, image_id, paper_id, source_group_id, figure_id, review_status, annotation_mode, ready_for_training, annotation_version,
   'assets/images/' || image_id || '.png' AS image_path, 'annotations/' || sample_id || '.json' AS annotation_path,
   CASE WHEN ready_for_training THEN 'ready/images/' || sample_id || '.png' END AS ready_image_path,
@@ -290,7 +290,7 @@ y AS (SELECT figure_no, label, w, h, floor(i * w / n) AS x0, floor((i + 1) * w /
 z AS (SELECT figure_no, string_agg(printf('0 %.8f %.8f %.8f %.8f', (x0 + x1) / (2.0::DOUBLE * w), 0.5::DOUBLE, (x1 - x0) / w::DOUBLE, 1.0::DOUBLE) || chr(10), '' ORDER BY label) AS t FROM y GROUP BY 1)
 SELECT figure_no, coalesce(t, '') AS label_text FROM f LEFT JOIN z USING (figure_no) WHERE width_px > 0 AND height_px > 0""",
     "figure_counts": f"""WITH {_F}, g AS (SELECT *, len(list_filter(quality_flags, lambda x: x NOT IN ('caption_guided_component_merge', 'native_context_expanded', 'caption_spans_pages', 'cross_page_caption_match', 'compact_scheme_candidate'))) > 0 AS again FROM f)
-SELECT job_id, count(*) AS figures, count(*) FILTER (lower(caption_kind) LIKE '%scheme%') AS schemes, sum(len(expected_panel_labels)) AS panels, count(*) FILTER (again) AS to_review,
+SELECT job_id, count(*) AS figures, count(*) FILTER (lower(caption_kind) LIKE '%scheme%') AS schemes, CAST(sum(len(expected_panel_labels)) AS BIGINT) AS panels, count(*) FILTER (again) AS to_review,
   count(*) FILTER (coalesce(again, false) OR coalesce(needs_review, false)) AS any_review, count(*) FILTER (caption IS NULL) AS without_caption FROM g GROUP BY 1""",
     "quality_flags": f"""WITH {_F}, g AS (SELECT figure_no, unnest(list_distinct(quality_flags)) AS flag FROM f)
 SELECT flag, count(*) AS figures, flag NOT IN ('caption_guided_component_merge', 'native_context_expanded', 'caption_spans_pages', 'cross_page_caption_match', 'compact_scheme_candidate') AS asks FROM g GROUP BY 1""",

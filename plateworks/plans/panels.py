@@ -149,13 +149,13 @@ SELECT vec_id, chr(CAST(65 + t AS INT)) AS letter, similarity FROM s QUALIFY row
 SELECT vec_id, min(i) AS start, count(*) AS length FROM l GROUP BY vec_id, island""",
     "label_endpoint": """WITH r AS (SELECT l_orderkey, l_linenumber, max(CAST(trunc(l_discount * 100) AS INT)) AS q FROM lineitem GROUP BY 1, 2),
 s AS (SELECT l_orderkey, l_linenumber, sum(CASE WHEN q > 0 THEN q - 4 ELSE -2 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) AS run FROM r)
-SELECT l_orderkey, l_linenumber AS endpoint, run AS best FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY run DESC, l_linenumber) = 1""",
+SELECT l_orderkey, l_linenumber AS endpoint, CAST(run AS BIGINT) AS best FROM s QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY run DESC, l_linenumber) = 1""",
     "height_quantiles": "SELECT l_suppkey, quantile_cont(l_quantity, 0.78) AS q78, quantile_cont(l_quantity, 0.18) AS q18, quantile_cont(l_quantity, 0.5) AS q50 FROM lineitem GROUP BY 1",
     "row_clusters": f"""WITH {fixtures.SQL}, c AS (SELECT doc, page, count(*) OVER (PARTITION BY doc, page ORDER BY CAST(y0 AS INT) RANGE BETWEEN CURRENT ROW AND 126 FOLLOWING) AS n FROM img)
 SELECT doc, page, max(n) AS largest FROM c GROUP BY 1, 2""",
     "row_segments": f"""WITH {fixtures.SQL}, c AS (SELECT doc, page, CASE WHEN y0 > lag(y1) OVER w OR lag(y1) OVER w IS NULL THEN 1 ELSE 0 END AS n FROM img WINDOW w AS (PARTITION BY doc, page ORDER BY id))
-SELECT doc, page, sum(n) AS rows, count(*) AS blocks FROM c GROUP BY 1, 2""",
-    "ocr_words": f"WITH {_OCR} SELECT key, count(*) AS words, sum(left_) AS lefts, CAST(sum(conf) AS DOUBLE) AS confidence, min(text) AS first FROM o GROUP BY 1",
+SELECT doc, page, CAST(sum(n) AS BIGINT) AS rows, count(*) AS blocks FROM c GROUP BY 1, 2""",
+    "ocr_words": f"WITH {_OCR} SELECT key, count(*) AS words, CAST(sum(left_) AS BIGINT) AS lefts, CAST(sum(conf) AS DOUBLE) AS confidence, min(text) AS first FROM o GROUP BY 1",
     "ocr_penalty": f"""WITH {_OCR}, g AS (SELECT s_suppkey AS doc, CAST(k AS INT) AS id, k * 50 AS x0, k * 70 AS y0 FROM supplier, range(10) t(k)),
 m AS (SELECT doc, id, greatest(0, least(x0 + 20, left_ + 30) - greatest(x0, left_)) * greatest(0, least(y0 + 10, top_ + 12) - greatest(y0, top_)) / 200.0::DOUBLE AS c FROM g JOIN o ON key = doc)
 SELECT g.doc, g.id, coalesce(max(c) FILTER (c >= 0.45), 0) AS penalty FROM g LEFT JOIN m USING (doc, id) GROUP BY 1, 2""",

@@ -167,19 +167,19 @@ r AS (SELECT *, starts_with(path, root || '/') AS inside, substr(path, length(ro
   nullif(split_part(regexp_extract(path, '^(.*)/[^/]*$', 1), '/', -1), '') AS parent FROM p),
 g AS (SELECT *, CASE WHEN kind IS DISTINCT FROM 'folder' THEN '浏览器上传'
   WHEN inside THEN coalesce(nullif(regexp_extract(rel, '^(.*)/[^/]*$', 1), ''), '根目录') ELSE coalesce(parent, '其他目录') END AS source_group FROM r)
-SELECT batch_id, source_group, count(*) AS items, sum(size_bytes) AS bytes FROM g GROUP BY 1, 2""",
+SELECT batch_id, source_group, count(*) AS items, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM g GROUP BY 1, 2""",
     "folder_counts": f"""WITH {_ITEMS}
 SELECT regexp_extract(replace(source_path, chr(92), '/'), '^(.*)/[^/]*$', 1) AS folder, count(*) AS files FROM items WHERE source_path IS NOT NULL GROUP BY 1""",
     "item_metrics": f"""WITH {_ITEMS},
 m AS (SELECT batch_id, try_cast(json_extract(metrics_json, '$.figures') AS INT) AS f, try_cast(json_extract(metrics_json, '$.panels') AS INT) AS p,
   try_cast(json_extract(metrics_json, '$.needs_review') AS INT) AS n FROM items WHERE status = 'completed')
-SELECT batch_id, count(*) AS items, sum(f) AS figures, sum(p) AS panels, sum(n) AS needs_review, count(*) FILTER (p = 0) AS preserved FROM m GROUP BY 1""",
+SELECT batch_id, count(*) AS items, CAST(sum(f) AS BIGINT) AS figures, CAST(sum(p) AS BIGINT) AS panels, CAST(sum(n) AS BIGINT) AS needs_review, count(*) FILTER (p = 0) AS preserved FROM m GROUP BY 1""",
     "batches_by_day": """WITH b AS (SELECT batch_id, max(created_at) AS c, max(total) AS t FROM batches GROUP BY 1)
-SELECT strftime(try_cast(c AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS batches, sum(t) AS items FROM b GROUP BY 1""",
+SELECT strftime(try_cast(c AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS batches, CAST(sum(t) AS BIGINT) AS items FROM b GROUP BY 1""",
     "key_violations": """SELECT 'item' AS key, count(*) FILTER (n > 1) AS n FROM (SELECT count(DISTINCT job_id) AS n FROM batch_items GROUP BY batch_id, item_id)
 UNION ALL SELECT 'job', count(*) FILTER (n > 1) FROM (SELECT count(DISTINCT (batch_id, item_id)) AS n FROM batch_items WHERE job_id IS NOT NULL GROUP BY job_id)""",
     "status_lives": """WITH r AS (SELECT batch_id, item_id, changed_at, load_no, nullif(lower(trim(status)), '') AS status FROM batch_items WHERE changed_at IS NOT NULL),
 s AS (SELECT *, lag(status) OVER w AS before FROM r WINDOW w AS (PARTITION BY batch_id, item_id ORDER BY changed_at, load_no)),
 t AS (SELECT *, lead(changed_at) OVER (PARTITION BY batch_id, item_id ORDER BY changed_at, load_no) AS until FROM s WHERE status IS DISTINCT FROM before)
-SELECT status, count(*) AS entered, count(until) AS left, sum(epoch_us(until) - epoch_us(changed_at)) AS spent_us FROM t GROUP BY 1""",
+SELECT status, count(*) AS entered, count(until) AS left, CAST(sum(epoch_us(until) - epoch_us(changed_at)) AS BIGINT) AS spent_us FROM t GROUP BY 1""",
 }

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plateworks.runtime import numbered
+
 #: Suffixes of image files; limits of an upload.
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff")
 MAX_FILES, MAX_BYTES = 2000, 80 * 1024 * 1024
@@ -37,12 +38,11 @@ def _listed(spark: SparkSession, root: str, pattern: str, recursive: bool) -> Da
 def pdf_folder(spark: SparkSession, root: str, recursive: bool = False) -> DataFrame:
     """PDF files of a folder in the order of their paths, with item ids i000001 on.
 
-    The number is a window over all paths: one sort of (path, length), which is what a batch holds.
+    The numbers come from a range sort of (path, length), part by part.
     """
-    rows = _listed(spark, root, "*.pdf", recursive)
-    n = F.row_number().over(W.orderBy("path"))
+    rows = numbered(_listed(spark, root, "*.pdf", recursive), ["path"], "n")
     return rows.select(
-        F.format_string("i%06d", n).alias("item_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("source_path"),
+        F.format_string("i%06d", "n").alias("item_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("path").alias("source_path"),
         F.col("length").alias("size_bytes"),
     )
 
