@@ -11,8 +11,10 @@ and each 3 of them make one token: a slip spoils one word, so the other three of
 whatever the slip does to the order. Three words are taken by twos, two words one by one, and a single
 word by its forms with one letter left out. Only words that a slip may spoil are left out, never numbers.
 So no pair is missed, and a token is as rare as three words. The size band is part of the token, with its
-neighbours on the probing side. Where a token has many postings all the same, partners must share a
-deletion form of the word left out.
+neighbours on the probing side. Where a token has many postings all the same, partners must share the
+whole title, or all of it but one word and a form of that word that one slip leaves (a letter left out, or
+the letters in order). The word that a token leaves out need not be the slip: in titles of more than four
+words the slip may lie outside one prefix and push a word out of the other.
 
 Scale: all steps are equi-joins and partial aggregates. Copies fold into one class before any token is
 made, hot digests and titles are star shaped (never all pairs), and a probe reads only the buckets that
@@ -33,8 +35,10 @@ from plateworks.runtime import Cut
 #: Sizes at most so much apart (of the larger) are near.
 NEAR = 0.02
 BUCKETS = 16
-#: Postings of one token beyond which its partners are told apart by the word that it leaves out.
+#: Postings of one token beyond which its partners are told apart by their whole titles.
 HEAVY = 500
+#: Words that a slip may spoil; one side of a slip has four letters or more.
+SPOILT = "^\\p{L}{3,}$"
 #: The tables of an index.
 TABLES = {
     "postings": "key bigint, cid bigint, bucket int", "digests": "digest binary, rep string", "order": "word string, df bigint",
@@ -136,14 +140,33 @@ def _subsets(words: Column) -> Column:
     return F.when(F.size(loose) > 0, loose).otherwise(F.array(F.struct(F.array_join(words, " ").alias("token"), F.lit("").alias("omitted"))))
 
 
-def deletions(word: Column) -> Column:
-    """A word and its forms with one letter left out; words with one slip share one of them."""
+def slip_forms(word: Column) -> Column:
+    """A word, its forms with one letter left out, and its letters in order: words with one slip share one of them.
+
+    A letter left out, added or replaced leaves a deletion form in common, and letters that changed places,
+    wherever they stand, the ordered letters.
+    """
     return F.array_distinct(F.concat(
         F.array(word),
         F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word))), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), word.substr(i + 1, F.length(word)))),
+        F.array(F.concat(F.lit("~"), F.array_join(F.array_sort(F.split(word, "")), ""))),
     ))
 
 
+def whole_keys(classes: DataFrame, moves: tuple, to: str) -> DataFrame:
+    """(key, to): the whole title, and for each word that a slip may spoil the title with a gap there and each form of the word.
+
+    Two titles that name one paper are equal or share a gap and a form, whatever their prefixes are. moves: the
+    bands to go to, from the own one.
+    """
+    words = F.split("title", " ")
+    gaps = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.array_join(F.transform(words, lambda v, k: F.when(k == i, F.lit("@")).otherwise(v)), " ").alias("gap")))
+    loose = F.filter(gaps, lambda x: x["w"].rlike(SPOILT))
+    forms = F.flatten(F.transform(loose, lambda x: F.transform(slip_forms(x["w"]), lambda f: F.concat_ws("/", x["gap"], f))))
+    rows = classes.select("cell", F.col("cid").alias(to), F.explode(F.concat(F.array("title"), forms)).alias("form"))
+    return rows.select(F.explode(F.array(*[F.xxhash64("form", F.col("cell") + k) for k in moves])).alias("key"), to)
+
+
 def prefix_tokens(classes: DataFrame, order: DataFrame) -> DataFrame:
     """Each class with each of its tokens and the word that the token leaves out.
 
@@ -154,7 +177,7 @@ def prefix_tokens(classes: DataFrame, order: DataFrame) -> DataFrame:
     n = F.size(words)
     tagged = F.transform(words, lambda w, k: F.concat(w, F.lit("@"), k.cast("string")))
     w = F.col("title")
-    forms = F.when(w.rlike("^\\p{L}{3,}$"), deletions(w)).otherwise(F.array(w))
+    forms = F.when(w.rlike(SPOILT), slip_forms(w)).otherwise(F.array(w))
     single = F.transform(forms, lambda t: F.struct(t.alias("token"), F.lit("").alias("omitted")))
     few = classes.where(n <= 4).withColumn("_w", tagged).withColumn("tokens", F.when(n == 1, single).otherwise(_subsets(F.col("_w")))).drop("_w")
     many = classes.where(n > 4)
@@ -181,27 +204,22 @@ class HistoryIndex:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
 
-    def _candidates(self, probe: DataFrame, here: DataFrame, new: DataFrame, known: DataFrame, order: DataFrame, steps: tuple) -> DataFrame:
+    def _candidates(self, probe: DataFrame, here: DataFrame, new: DataFrame, known: DataFrame, steps: tuple) -> DataFrame:
         """(ask, cid): classes that share a token.
 
-        A token with many postings stands for titles that are alike but for one word. There, partners must
-        also share a deletion form of that word, which words with one slip do: so nothing is lost and no pairs
-        of a heavy token are formed just because it is frequent.
+        A token with many postings stands for titles that share little more than three words. The classes
+        that meet there are told apart by the keys of the whole title instead (whole_keys), which all titles
+        that name one paper share: so nothing is lost and no pairs of a heavy token are formed just because
+        it is frequent.
         """
         heavy = Cut(here.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("key"), "heavy").df
         if heavy.isEmpty():
             return probe.join(here, "key").where("ask <> cid").select("ask", "cid").distinct()
         light = probe.join(heavy, "key", "left_anti").join(here, "key").where("ask <> cid").select("ask", "cid")
-
-        def fine(classes: DataFrame, ids: DataFrame, moves: tuple, to: str) -> DataFrame:
-            rows = prefix_tokens(classes.join(ids.distinct(), "cid", "left_semi"), order)
-            keys = F.explode(F.array(*[F.xxhash64("token", F.col("cell") + k) for k in moves]))
-            rows = rows.select(keys.alias("key"), F.col("cid").alias(to), "omitted").join(heavy, "key", "left_semi")
-            return rows.select("key", to, F.explode(deletions(F.col("omitted"))).alias("form"))
-
-        asks = fine(new, probe.join(heavy, "key", "left_semi").select(F.col("ask").alias("cid")), steps, "ask")
-        own = fine(known, here.join(heavy, "key", "left_semi").select("cid"), (0,), "cid")
-        return light.unionByName(asks.join(own, ["key", "form"]).where("ask <> cid").select("ask", "cid")).distinct()
+        met = lambda rows, c: rows.join(heavy, "key", "left_semi").select(F.col(c).alias("cid")).distinct()
+        asks = whole_keys(new.join(met(probe, "ask"), "cid", "left_semi"), steps, "ask")
+        own = whole_keys(known.join(met(here, "cid"), "cid", "left_semi"), (0,), "cid")
+        return light.unionByName(asks.join(own, "key").where("ask <> cid").select("ask", "cid")).distinct()
 
     def ingest(self, items: DataFrame) -> DataFrame:
         """Probes new items against history and among themselves, appends them, and returns the links found.
@@ -227,7 +245,7 @@ class HistoryIndex:
             old = self._read("postings").join(F.broadcast(asked.select("bucket").distinct()), "bucket", "left_semi")
             here = mine.unionByName(old.select("key", "cid"))
             known = known.unionByName(self._read("classes"))
-        maybe = self._candidates(probe, here, classes.df, known, order, steps)
+        maybe = self._candidates(probe, here, classes.df, known, steps)
         side = lambda df, tag: df.select(F.col("cid").alias(f"c{tag}"), *[F.col(c).alias(f"{c}{tag}") for c in ("title", "lo", "hi", "rep")])
         near = same_title(F.col("title1"), F.col("title2")) & near_sizes(F.col("lo1"), F.col("hi1"), F.col("lo2"), F.col("hi2"))
         pairs = (

@@ -116,3 +116,19 @@ def test_sizes_of_zero_and_empty_batches(spark):
     empty = history.fold_items(spark.createDataFrame([], LOG))
     assert index.ingest(empty).count() == 0 and index.ingest(empty).count() == 0
     assert history.same_paper_pairs(empty, index.ingest(empty)).count() == 0
+
+
+def links_of(spark, titles):
+    """Pairs of titles found among items of one size in batches of their own, and those of the brute force."""
+    items = history.fold_items(spark.createDataFrame([(f"b{k}", f"i{k}", f"j{k:04d}", f"/srv/x/{t}.pdf", 10**6, None, 1, "", 0) for k, t in enumerate(titles)], LOG)).cache()
+    index = history.HistoryIndex(spark, new_path(spark, "history"))
+    got = {tuple(r) for r in history.same_paper_pairs(items, index.ingest(items)).collect()}
+    return got, brute([r.asDict() for r in items.collect()])
+
+
+def test_heavy_tokens_keep_slips_outside_the_prefix(spark, monkeypatch):
+    monkeypatch.setattr(history, "HEAVY", 1)
+    often = [f"appendix mango{k} kiwi{k} lemon{k} peach{k}" for k in range(3)]  # so that appendix is no word of the prefix
+    slips = ["alpha beta gamma delta appendix", "alpha beta gamma delta apendix", "quartz membrane titania furnace", "quartz membrane titania nurface", "lattice", "tatlice"]
+    got, want = links_of(spark, slips + often)
+    assert got == want == {("j0000", "j0001"), ("j0002", "j0003"), ("j0004", "j0005")}
