@@ -6,10 +6,12 @@ sizes), its prefixes probe the postings, the length filter is the band of sizes,
 verified word by word; then its postings are appended. History is never rewritten.
 
 Prefixes. Two titles name one paper if they have as many words and all but one agree, the odd one out
-differing by one slip of the pen. Of n > 3 words in the fixed order of rarity the first 4 are the prefix
-and each 3 of them make one token: a slip spoils one word, so the other three of the prefix are shared
-whatever the slip does to the order. Three words are taken by twos, two words one by one, and a single
-word by its forms with one letter left out. Only words that a slip may spoil are left out, never numbers.
+differing by one slip of the pen. Of n > 4 words in the fixed order of rarity (equal words are numbered)
+the first 4 are the prefix, and 3 of them make one token. The first three words that two such titles have
+in common are in both prefixes: what is left out is the slip, or, where the slip is outside, the last word
+of the prefix. So the last is left out whatever it is, the others only if a slip may spoil them, never
+numbers. Four words are taken by threes, three by twos and two one by one, each with its position, so
+that both titles leave out the slip; a single word by its forms after a slip.
 So no pair is missed, and a token is as rare as three words. The size band is part of the token, with its
 neighbours on the probing side. Where a token has many postings all the same, partners must share the
 whole title, or all of it but one word and a form of that word that one slip leaves (a letter left out, or
@@ -128,16 +130,20 @@ def classes_of(items: DataFrame) -> DataFrame:
     )
 
 
-def _subsets(words: Column) -> Column:
-    """Struct(token, omitted): all of an array but one, for each word that a slip may spoil; the whole if there is none."""
+def _subsets(words: Column, last: bool) -> Column:
+    """Tokens: all of an array but one, for each word that a slip may spoil; the whole if there is none.
+
+    last: the last one is left out whatever it is, for a slip outside may have pushed it in.
+    """
     each = F.transform(
         F.sequence(F.lit(1), F.size(words)),
         lambda i: F.struct(
-            F.array_join(F.filter(words, lambda _, k: k != i - 1), " ").alias("token"), F.regexp_replace(F.get(words, i - 1), "@[0-9]+$", "").alias("omitted")
+            F.array_join(F.filter(words, lambda _, k: k != i - 1), " ").alias("token"),
+            (F.regexp_replace(F.get(words, i - 1), "@[0-9]+$", "").rlike(SPOILT) | (F.lit(last) & (i == F.size(words)))).alias("out"),
         ),
     )
-    loose = F.filter(each, lambda x: x["omitted"].rlike("^\\p{L}{3,}$"))
-    return F.when(F.size(loose) > 0, loose).otherwise(F.array(F.struct(F.array_join(words, " ").alias("token"), F.lit("").alias("omitted"))))
+    tokens = F.transform(F.filter(each, lambda x: x["out"]), lambda x: x["token"])
+    return F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.array_join(words, " ")))
 
 
 def slip_forms(word: Column) -> Column:
@@ -168,24 +174,25 @@ def whole_keys(classes: DataFrame, moves: tuple, to: str) -> DataFrame:
 
 
 def prefix_tokens(classes: DataFrame, order: DataFrame) -> DataFrame:
-    """Each class with each of its tokens and the word that the token leaves out.
+    """Each class with each of its tokens.
 
     order: (word, df) as fixed when the index was made; other words are rarest. A title of one word has
-    its deletion forms as tokens.
+    its slip forms as tokens. Words of short titles carry their position, those of titles of more than four
+    words their running number among equal ones, so that a title has as many as it has words.
     """
     words = F.split("title", " ")
     n = F.size(words)
     tagged = F.transform(words, lambda w, k: F.concat(w, F.lit("@"), k.cast("string")))
     w = F.col("title")
-    forms = F.when(w.rlike(SPOILT), slip_forms(w)).otherwise(F.array(w))
-    single = F.transform(forms, lambda t: F.struct(t.alias("token"), F.lit("").alias("omitted")))
-    few = classes.where(n <= 4).withColumn("_w", tagged).withColumn("tokens", F.when(n == 1, single).otherwise(_subsets(F.col("_w")))).drop("_w")
+    single = F.when(w.rlike(SPOILT), slip_forms(w)).otherwise(F.array(w))
+    few = classes.where(n <= 4).withColumn("_w", tagged).withColumn("tokens", F.when(n == 1, single).otherwise(_subsets(F.col("_w"), False))).drop("_w")
     many = classes.where(n > 4)
-    apart = many.select("title", F.explode(F.array_distinct(words)).alias("word")).distinct().join(order, "word", "left")
+    nth = F.transform(words, lambda w, k: F.struct(w.alias("word"), F.size(F.filter(F.slice(words, F.lit(1), k + 1), lambda v: v == w)).alias("nth")))
+    apart = many.select("title").distinct().select("title", F.explode(nth).alias("x")).select("title", "x.*").join(order, "word", "left")
     rare = apart.groupBy("title").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))), 1, 4).alias("r")
-    ).select("title", F.array_sort(F.transform("r", lambda x: x["word"])).alias("_w")).select("title", _subsets(F.col("_w")).alias("tokens"))
-    return few.unionByName(many.join(rare, "title")).withColumn("_x", F.explode(F.array_distinct("tokens"))).select(*classes.columns, "_x.*")
+        F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word", "nth"))), 1, 4).alias("r")
+    ).select("title", F.transform("r", lambda x: F.concat_ws("@", x["word"], x["nth"].cast("string"))).alias("_w")).select("title", _subsets(F.col("_w"), True).alias("tokens"))
+    return few.unionByName(many.join(rare, "title")).withColumn("token", F.explode(F.array_distinct("tokens"))).drop("tokens")
 
 
 def word_order(classes: DataFrame) -> DataFrame:

@@ -132,3 +132,30 @@ def test_heavy_tokens_keep_slips_outside_the_prefix(spark, monkeypatch):
     slips = ["alpha beta gamma delta appendix", "alpha beta gamma delta apendix", "quartz membrane titania furnace", "quartz membrane titania nurface", "lattice", "tatlice"]
     got, want = links_of(spark, slips + often)
     assert got == want == {("j0000", "j0001"), ("j0002", "j0003"), ("j0004", "j0005")}
+
+
+def test_slips_outside_the_prefix_push_in_numbers_and_repeated_words(spark):
+    often = ["acoustic", "precursor", "sintering"]
+    filler = [" ".join(f"{w}{k}" if w not in often else w for w in ("kelp", "moss", *often)) for k in range(4)]
+    filler += [f"fern{k} reed{k} acoustic rush{k} sedge{k}" for k in range(3)] + [f"1974 mercury oak{k} elm{k} ash{k}" for k in range(2)]
+    slips = [
+        "mercury acoustic sintering precursor 1974", "mercury acustic sintering precursor 1974", "crystal crystal crystal lattice lattice lattice",
+        "crystal crystal crystal lattice lattice latice", "crystal 1 2 3 4", "crystl 1 2 3 4", "1990 1991 1992 1993 furnace", "1990 1991 1992 1993 funrace",
+    ]
+    got, want = links_of(spark, slips + filler)
+    assert got == want and want >= {("j0000", "j0001"), ("j0002", "j0003"), ("j0004", "j0005"), ("j0006", "j0007")}
+
+
+@pytest.mark.parametrize("heavy", [500, 2])
+def test_long_titles_equal_brute_force(spark, monkeypatch, heavy):
+    monkeypatch.setattr(history, "HEAVY", heavy)
+    r = random.Random(heavy)
+    vocabulary = ["crystal", "lattice", "furnace", "polymer", "granite", "set", "of", "a", "2", "1974", "1975", "vol4"]
+    titles = []
+    for _ in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.choice([5, 5, 6, 7]))]
+        titles.append(" ".join(words))
+        for w in [i for i, x in enumerate(words) if len(x) > 3 and x.isalpha()][:3]:
+            titles.append(" ".join([*words[:w], slip(words[w], r), *words[w + 1 :]]))
+    got, want = links_of(spark, titles)
+    assert got == want and len(want) > 100
