@@ -40,3 +40,12 @@ def test_figures_grow_by_near_blocks(spark):
     images = spark.createDataFrame([(1, 1, 1, 0.0, 100.0, 100.0, 200.0), (1, 1, 2, 110.0, 100.0, 200.0, 200.0), (1, 1, 3, 0.0, 10.0, 200.0, 90.0), (1, 1, 4, 0.0, 230.0, 200.0, 300.0), (1, 1, 5, 400.0, 100.0, 500.0, 200.0)], box)
     captions = spark.createDataFrame([(1, 1, 1, 0.0, 205.0, 200.0, 215.0)], box)
     assert rows(c.grow_figures(images, captions)) == [(1, 1, 1, [1, 2, 3], 0.0, 10.0, 200.0, 200.0)]
+
+
+def test_query_reads_the_lines_of_all_documents(spark, tmp_path):
+    from plateworks.plans import documents
+
+    line = "Fig. 1. Left one Fig. 2. Right"
+    docs = [(1, line, "caption_sheet"), (2, f"A page.\n{line}\nFig. 3. More", "page_text"), (3, line, "review_note"), (4, line, None), (5, None, "guide"), (6, "See Fig. 3. x", "outreach")]
+    spark.createDataFrame(docs, "doc_id long, text string, kind string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(documents.split_captions(spark, str(tmp_path))) == [(1, 2, 2), (2, 3, 2), (3, 2, 2), (4, 2, 2)]
