@@ -2,8 +2,8 @@
 
 The test items are held as a set of word n-grams that every task gets; each document is scanned once, its
 n-grams that are in the set are the hits, and the hits of one item on one diagonal (the same offset
-between document and item) are verified: the longest run that begins and ends with an agreeing word, in
-which at most one word in `one_in` is replaced.
+between document and item) are verified: runs that begin and end with an agreeing word, in which at most
+one word in `one_in` is replaced; the longest, and more until every agreeing word of any such run is in one.
 
 Completeness: a run of 30 words or more with at most one word in eight replaced holds six agreeing words
 in a row, so n-grams of six miss none. The set that is broadcast is bounded: the items are taken in
@@ -17,6 +17,7 @@ if an item has it with a hyphen.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -91,9 +92,7 @@ class ItemSet:
             if hi - lo < least:
                 continue
             same = [doc[x] == item[x - shift] for x in range(lo, hi)]
-            run = longest_run(same, least, one_in)
-            if run:
-                a, b = run
+            for a, b in all_runs(same, least, one_in):
                 out.append((key, found[lo + a][1], found[lo + b][2], b - a + 1, same[a : b + 1].count(False)))
         return out
 
@@ -124,6 +123,31 @@ def longest_run(same: list[bool], least: int, one_in: int) -> tuple[int, int] |
     return best
 
 
+def all_runs(same: list[bool], least: int, one_in: int) -> list[tuple[int, int]]:
+    """Runs as of longest_run() that together hold every True that is in any such run: the longest first, then the longest that adds one."""
+    if longest_run(same, least, one_in) is None:
+        return []  # most diagonals
+    total, sums = 0, [0]
+    for s in same:
+        total += -1 if s else one_in - 1
+        sums.append(total)
+    lowest = [sums[e + 1] if s else total + len(same) * one_in for e, s in enumerate(same)]  # from here on, after a True
+    for e in range(len(same) - 2, -1, -1):
+        lowest[e] = min(lowest[e], lowest[e + 1])
+    widest: list[tuple[int, int]] = []
+    for i, s in enumerate(same):
+        if s:
+            e = bisect_right(lowest, sums[i]) - 1
+            if e - i + 1 >= least and (not widest or e > widest[-1][1]):
+                widest.append((i, e))
+    left, out = list(same), []
+    for a, b in sorted(widest, key=lambda r: (r[0] - r[1], -r[1])):
+        if any(left[a : b + 1]):
+            left[a : b + 1] = [False] * (b + 1 - a)
+            out.append((a, b))
+    return out
+
+
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most so many words, read one partition at a time."""
     block, size = [], 0
@@ -142,9 +166,9 @@ def leak_spans(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, one_in: int = ONE_IN, n: int = N,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """(key, item_id, start, end, words, replaced): the longest run of each item on each diagonal of a document.
+    """(key, item_id, start, end, words, replaced): the runs of each item on each diagonal of a document.
 
-    start and end are places in the text, end exclusive. Null texts and null keys hold nothing; items shorter
+    start and end are places in the text, end exclusive; runs may overlap. Null texts and null keys hold nothing; items shorter
     than `least` words can't leak. Empty tables give an empty result.
     """
     spark = docs.sparkSession

@@ -59,3 +59,24 @@ def test_empty_tables(spark):
     full = spark.createDataFrame([(1, "x " * 50, 0, 0)], DOC)
     assert leaks.leak_spans(d, i).count() == 0 and leaks.leak_spans(full, i).count() == 0
     assert leaks.remove_spans(full, leaks.leak_spans(full, i)).first().text == "x " * 50
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.booleans(), max_size=40), st.integers(1, 12), st.integers(2, 8))
+def test_all_runs_hold_every_word_of_any_run(same, least, one_in):
+    ok = [
+        (a, b) for a in range(len(same)) for b in range(a + least - 1, len(same))
+        if same[a] and same[b] and one_in * same[a : b + 1].count(False) <= b - a + 1
+    ]
+    got, longest = leaks.all_runs(same, least, one_in), leaks.longest_run(same, least, one_in)
+    agreeing = lambda runs: {x for a, b in runs for x in range(a, b + 1) if same[x]}
+    assert got[:1] == ([longest] if longest else []) and set(got) <= set(ok) and agreeing(got) == agreeing(ok)
+
+
+def test_two_passages_on_one_diagonal_are_removed(spark):
+    r = random.Random(7)
+    item, before, between, after = words(r, 100), words(r, 12), words(r, 30), words(r, 9)
+    df = spark.createDataFrame([(1, " ".join(before + item[:35] + between + item[65:] + after), 0, 0)], DOC)
+    spans = leaks.leak_spans(df, spark.createDataFrame([(1, "s", " ".join(item))], ITEM))
+    assert sorted(x.words for x in spans.collect()) == [35, 35]
+    assert leaks.remove_spans(df, spans).first().text.split() == before + between + after
