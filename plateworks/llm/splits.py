@@ -99,16 +99,38 @@ def difference(rows: list[tuple[int, list[float]]], bins: int) -> tuple[list[flo
 
 
 def place_single(rows: list[tuple[int, float]], bins: int) -> tuple[list[float], dict[int, int]]:
-    """Differencing of single weights: the same as difference() of (w, 0, 0, ...), without the tuples of zeros."""
-    if len(rows) <= 64:
-        sums, at = difference([(k, [w] + [0.0] * (bins - 1)) for k, w in rows], bins)
-        return sums, {k: v[0] for k, v in at.items()}
-    # Single weights with the largest spread are the largest weights: take `bins` at a time, in falling
-    # order; a block is one tuple. Combining equal neighbours first is what differencing does with them.
-    rows = sorted(rows, key=lambda r: (-r[1], r[0]))
-    blocks = [rows[i : i + bins] for i in range(0, len(rows), bins)]
-    sums, at = difference([(k, [w for _, w in b] + [0.0] * (bins - len(b))) for k, b in enumerate(blocks)], bins)
-    return sums, {key: at[k][i] for k, b in enumerate(blocks) for i, (key, _) in enumerate(b)}
+    """Differencing of single weights: the same as difference() of (w, 0, 0, ...), without the tuples of zeros.
+
+    A tuple has its filled bins only, each a sum and a node; a node is a row, or two nodes that came together.
+    """
+    rows = sorted(rows)
+    joined: list[tuple[int, int]] = []  # node len(rows) + k
+    heap = [(-(w if bins > 1 else 0.0), k, [(w, k)]) for k, (_, w) in enumerate(rows)]
+    heapq.heapify(heap)
+    label = len(heap)
+    while len(heap) > 1:
+        _, _, x = heapq.heappop(heap)
+        _, _, y = heapq.heappop(heap)
+        free = bins - len(y)  # bins of x that meet none of y
+        both = x[:free]
+        for i in range(free, len(x)):
+            (v, a), (w, b) = x[i], y[bins - 1 - i]
+            both.append((v + w, len(rows) + len(joined)))
+            joined.append((a, b))
+        both += y[: min(len(y), bins - len(x))][::-1]
+        both.sort(key=lambda e: -e[0])
+        heapq.heappush(heap, (-(both[0][0] - (both[-1][0] if len(both) == bins else 0.0)), label, both))
+        label += 1
+    last = heap[0][2] if heap else []
+    at: dict[int, int] = {}
+    stack = [(node, b) for b, (_, node) in enumerate(last)]
+    while stack:
+        node, b = stack.pop()
+        if node < len(rows):
+            at[rows[node][0]] = b
+        else:
+            stack += [(child, b) for child in joined[node - len(rows)]]
+    return [v for v, _ in last] + [0.0] * (bins - len(last)), at
 
 
 def balanced_bins(weights: DataFrame, unit_key: str, weight: str, bins: int, unit: int = UNIT, fan: int = FAN) -> DataFrame:

@@ -78,3 +78,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     comp = splits.record_components(df, "record_no", splits.link_keys())
     assert comp.count() == 0 and splits.assign_splits(comp, {"train": 1.0}).count() == 0 and splits.linked_samples(df, comp).count() == 0
+
+
+def test_single_weights_are_differenced():
+    r = random.Random(3)
+    skewed = [(0, 300.0)] + [(k, float(r.randint(1, 5))) for k in range(1, 2001)]
+    mixed = [(k, float(r.randint(1, 60))) for k in range(400)]
+    for rows, bins in ((skewed, 20), (mixed, 50), (mixed, 1), (mixed, 500), (mixed[:3], 2), ([], 4)):
+        sums, at = splits.difference([(k, [w] + [0.0] * (bins - 1)) for k, w in rows], bins)
+        assert splits.place_single(rows, bins) == (sums, {k: v[0] for k, v in at.items()})
+    sums, _ = splits.place_single(skewed, 20)
+    assert max(sums) - min(sums) <= 10
