@@ -9,7 +9,8 @@ Scoring: the likelihood of a document under a grade is the product over its sent
 the grades' models; the level is the grade of the highest posterior. Every document is scored whole, one
 Arrow pass without a shuffle. The model that is broadcast is bounded by the sample.
 
-Only texts in the language of the training texts have a level: at least half of the words must be known.
+Every text with a sentence has a level, a short one with a low confidence. A text is taken for English, the
+language of the training texts, if at least half of its words are known to the model.
 """
 
 from __future__ import annotations
@@ -28,23 +29,25 @@ from plateworks.runtime import ship, spread
 GRADES = 5
 #: Bounds of the training sample: labelled documents, and characters of one of them.
 SAMPLE, LONGEST = 3000, 40_000
-ALPHA, ROUNDS, LEAST_WORDS, LEAST_KNOWN = 0.05, 5, 25, 0.5
+ALPHA, ROUNDS, LEAST_KNOWN = 0.05, 5, 0.5
 #: The chance that a rater names a neighbouring grade.
 SLIP = 0.1
 
 _JOIN = re.compile(r"(?<=[^\W\d_])[-‐­]\r?\n(?=[^\W\d_])")
 _END = re.compile(r"\n\s*\n|(?<=[.!?])\s+")
 _WORDS = re.compile(r"[^\W\d_]+")
-#: Words of a unit at most; longer sentences are taken in pieces, so that none outweighs the rest.
+#: Words of a unit at most; longer sentences are taken in pieces of like length, so that none outweighs the rest.
 UNIT = 20
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of a text as words, in pieces of at most UNIT; pieces of one or two words (heads, rows of figures) are left out."""
+    """The sentences of a text as words, in pieces of at most UNIT; whole sentences of one or two words (heads, rows of figures) are left out."""
     out = []
     for s in _END.split(_JOIN.sub("", text)):
         w = _WORDS.findall(s.lower())
-        out += [w[k : k + UNIT] for k in range(0, len(w), UNIT) if len(w) - k >= 3]
+        if len(w) >= 3:
+            n = -(-len(w) // UNIT)
+            out += [w[len(w) * k // n : len(w) * (k + 1) // n] for k in range(n)]
     return out
 
 
@@ -140,8 +143,8 @@ def train(anchors: list[tuple[int, str]], labelled: list[tuple[list[int], str]],
 
 
 def fit(docs: DataFrame, labels: DataFrame, anchors: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
-    """Trains on all anchors and on at most `sample` labelled documents of at most `longest` characters, chosen by a hash of the id."""
-    seeds = anchors.where(F.col("reading_level").between(1, GRADES) & F.col("text").isNotNull()).select("reading_level", "text")
+    """Trains on all anchors, and on at most `sample` labelled documents of at most `longest` characters, chosen by a hash of the id."""
+    seeds = anchors.where(F.col("reading_level").between(1, GRADES) & F.col("text").isNotNull()).select("reading_level", "text").distinct()
     rated = labels.where(F.col("reading_level").between(1, GRADES) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.struct("rater", "reading_level"))).alias("r")
     )
@@ -151,21 +154,21 @@ def fit(docs: DataFrame, labels: DataFrame, anchors: DataFrame, sample: int = SA
         .select("text", F.transform("r", lambda x: x["reading_level"]).alias("grades"))
     )
     labelled = sorted(((list(r["grades"]), r["text"]) for r in taken.toLocalIterator()), key=lambda x: (x[1], x[0]))
-    return train(sorted((r["reading_level"], r["text"]) for r in seeds.limit(sample).collect()), labelled)
+    return train(sorted((r["reading_level"], r["text"]) for r in seeds.toLocalIterator()), labelled)
 
 
 def levels(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, level, confidence, share_1 .. share_5, known, words) of every document.
+    """(key, level, confidence, share_1 .. share_5, known, words, english) of every document.
 
-    level is null for a text of fewer than LEAST_WORDS words, which is no text as a whole, and where fewer
-    than half of the words are known, which is another language. Null and empty texts have no words. shares are those of the
-    sentences by grade.
+    level and confidence are the grade of the highest posterior and that posterior; shares are those of the
+    sentences by grade. english: at least half of the words are known. Texts without a sentence, null and empty ones
+    among them, have no level and no words.
     """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     names = [f"share_{g + 1}" for g in range(GRADES)]
-    schema = f"key bigint, level int, confidence double, {', '.join(f'{n} double' for n in names)}, known double, words bigint"
+    schema = f"key bigint, level int, confidence double, {', '.join(f'{n} double' for n in names)}, known double, words bigint, english boolean"
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
@@ -176,11 +179,10 @@ def levels(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
                 if len(logs):
                     p = m.posterior(logs)
                     shares = np.bincount(logs.argmax(axis=1), minlength=GRADES) / len(logs)
-                    ok = n >= LEAST_WORDS and known >= LEAST_KNOWN
-                    rows.append((k, int(p.argmax()) + 1 if ok else None, float(p.max()) if ok else None, *shares.tolist(), known, n))
+                    rows.append((k, int(p.argmax()) + 1, float(p.max()), *shares.tolist(), known, n, known >= LEAST_KNOWN))
                 else:
-                    rows.append((k, None, None, *[None] * GRADES, None, 0))
-            out = pd.DataFrame(rows, columns=["key", "level", "confidence", *names, "known", "words"])
+                    rows.append((k, None, None, *[None] * GRADES, None, 0, False))
+            out = pd.DataFrame(rows, columns=["key", "level", "confidence", *names, "known", "words", "english"])
             out["level"] = out["level"].astype("Int32")
             yield out
 

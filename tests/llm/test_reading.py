@@ -33,12 +33,31 @@ def test_a_quotation_changes_nothing(spark):
     easy, hard, model = toy()
     texts = {1: easy * 12 + hard, 2: hard * 10 + "samples were heated and measured in the chamber. " * 3, 3: "quelle belle journée pour aller au marché demain matin. " * 9, 4: None, 5: "", 6: "cat", 7: hard * 3000, 8: "12 3.5\n" * 60}
     df = spark.createDataFrame([(k, t, 9, "x") for k, t in texts.items()] + [(None, easy, 0, "")], "doc_id long, text string, level int, key string")
-    got = {r.doc_id: r.level for r in reading.levels(df, model).collect()}
-    assert got == {1: 1, 2: 5, 3: None, 4: None, 5: None, 6: None, 7: 5, 8: None}
+    found = reading.levels(df, model).collect()
+    got = {r.doc_id: r.level for r in found if r.english or r.level is None}
+    assert got == {1: 1, 2: 5, 4: None, 5: None, 6: None, 7: 5, 8: None}
+
+
+def test_short_texts_and_every_word_count(spark):
+    easy, hard, model = toy()
+    texts = {1: "spectral renormalisation attenuates", 2: hard * 20, 3: " ".join(f"word{chr(97 + k)}" for k in range(22))}
+    got = {r.doc_id: r for r in reading.levels(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()}
+    assert got[1].level == 5 and got[1].confidence < got[2].confidence and [r.words for r in (got[1], got[3])] == [3, 22]
+    long = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(53)]
+    for n in range(3, 54):
+        pieces = reading.sentences(" ".join(long[:n]))
+        assert [w for p in pieces for w in p] == long[:n] and max(map(len, pieces)) <= reading.UNIT and min(map(len, pieces)) >= 3
+
+
+def test_all_anchors_count(spark):
+    anchors = spark.createDataFrame([(k, 1 + k % 5, f"alpha beta gamma anchor{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(60)] * 2, "anchor_id long, reading_level int, text string")
+    d = spark.createDataFrame([], "doc_id long, text string")
+    model = reading.fit(d, spark.createDataFrame([], "doc_id long, reading_level int, rater string"), anchors, sample=3)
+    assert len(model.words) == 3 + 60
 
 
 def test_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     model = reading.fit(d, spark.createDataFrame([], "doc_id long, reading_level int, rater string"), spark.createDataFrame([], "anchor_id long, reading_level int, text string"))
     assert reading.levels(d, model).count() == 0
-    assert reading.levels(spark.createDataFrame([(1, "some words " * 30)], "doc_id long, text string"), model).first().level is None
+    assert not reading.levels(spark.createDataFrame([(1, "some words " * 30)], "doc_id long, text string"), model).first().english
