@@ -1,13 +1,14 @@
 """Evaluation passages that leak into a corpus.
 
-The test items are held as a set of word n-grams that every task gets; each document is scanned once, its
-n-grams that are in the set are the hits, and the hits of one item on one diagonal (the same offset
-between document and item) are verified: runs that begin and end with an agreeing word, in which at most
-one word in `one_in` is replaced; the longest, and more until every agreeing word of any such run is in one.
+The test items are held as a set of hashed word n-grams that every task gets; each document is scanned once,
+its n-grams are probed in the sorted set, and the hits of one item on one diagonal (the same offset
+between document and item) are verified word by word: runs that begin and end with an agreeing word, in which
+at most one word in `one_in` is replaced; the longest, and more until every agreeing word of any such run is in one.
 
 Completeness: a run of 30 words or more with at most one word in eight replaced holds six agreeing words
-in a row, so n-grams of six miss none. The set that is broadcast is bounded: the items are taken in
-blocks of at most `block_words` words, and the corpus is scanned once for each block.
+in a row, so n-grams of six miss none. What is broadcast is bounded: the items are taken in
+blocks of at most `block_words` words, each a list of its distinct words and three arrays of numbers (some 16
+bytes a word), and the corpus is scanned once for each block.
 
 Words: lower case, letters and digits only; apostrophes vanish, other signs separate. A hyphen at a line
 end joins if the items know the joined word, or else separates; a compound written in one is taken apart
@@ -18,14 +19,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateworks.runtime import ship, spread
+from plateworks.runtime import Cut, ship, spread
 
 N, LEAST, ONE_IN, BLOCK_WORDS = 6, 30, 8, 2_000_000
 
@@ -33,6 +34,11 @@ _WORD = re.compile(r"[^\W_]+(?:['’­​-‍⁠﻿]+[^\W_]+)*")
 _DROP = re.compile(r"['’­​-‍⁠﻿]+")
 _BROKEN = re.compile(r"[-‐‑­][ \t]*\r?\n\s*\Z")
 _HYPHEN = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)+")
+_LINE_END = re.compile(r"[-‐‑­][ \t]*\r?\n")
+
+
+def _plain(raw: str) -> str:
+    return (raw if raw.isalnum() else _DROP.sub("", raw)).lower()
 
 
 def words_of(text: str, known=None, compounds=None) -> list[tuple[str, int, int]]:
@@ -40,9 +46,8 @@ def words_of(text: str, known=None, compounds=None) -> list[tuple[str, int, int]
     out: list[tuple[str, int, int]] = []
     end = 0
     for m in _WORD.finditer(text):
-        raw = m.group()
-        w = (_DROP.sub("", raw) if not raw.isalnum() else raw).lower()
-        if out and known is not None and m.start() - end <= 40 and m.start() > end and text[end] in "-‐‑­" and _BROKEN.match(text[end : m.start()]) and out[-1][0] + w in known:
+        w = _plain(m.group())
+        if out and known is not None and m.start() > end and text[end] in "-‐‑\u00ad" and _BROKEN.match(text[end : m.start()]) and out[-1][0] + w in known:
             w, start = out[-1][0] + w, out[-1][1]
             out[-1] = (w, start, m.end())
         elif compounds and w in compounds:
@@ -53,47 +58,88 @@ def words_of(text: str, known=None, compounds=None) -> list[tuple[str, int, int]
     return out
 
 
+def gram_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    """One number for each n words in a row; a clash of two only makes one diagonal more to verify."""
+    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + len(h)].astype(np.uint64) + np.uint64(1)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 class ItemSet:
-    """A block of items: words, postings of n-grams, compounds."""
+    """A block of items: numbered words, the numbers of each item in a row, sorted hashes of n-grams with their places, compounds."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N) -> None:
         self.n = n
-        self.words: dict[int, list[str]] = {}
-        self.at: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        self.known: dict[str, int] = {}
         self.compounds: dict[str, list[str]] = {}
-        for key, text in items:
-            own = [w for w, _, _ in words_of(text)]
-            self.words[key] = own
-            for k in range(len(own) - n + 1):
-                self.at[tuple(own[k : k + n])].append((key, k))
+        self.keys = [key for key, _ in items]
+        rows, hashes, places = [], [], []
+        at = 0
+        self.first = [0]
+        for _, text in items:
+            ids = np.array([self.known.setdefault(w, len(self.known)) for w, _, _ in words_of(text)], np.int64)
+            h = gram_hashes(ids, n)
+            rows.append(ids.astype(np.int32))
+            hashes.append(h)
+            places.append(np.arange(at, at + len(h), dtype=np.int32))
+            at += len(ids)
+            self.first.append(at)
             for m in _HYPHEN.finditer(text):
                 parts = [w for w, _, _ in words_of(m.group())]
                 self.compounds.setdefault("".join(parts), parts)
-        self.known = {w for own in self.words.values() for w in own}
+        self.ids = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        self.grams = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        order = np.argsort(self.grams, kind="stable")
+        self.grams, self.places = self.grams[order], (np.concatenate(places) if places else np.zeros(0, np.int32))[order]
         self.compounds = {c: p for c, p in self.compounds.items() if c not in self.known}
-        self.first = {g[0] for g in self.at}
+
+    def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the document and of the items where their n-grams are equal."""
+        h = gram_hashes(ids, self.n)
+        if not len(h) or not len(self.grams):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo = np.searchsorted(self.grams, h, "left")
+        at = np.flatnonzero(self.grams[np.minimum(lo, len(self.grams) - 1)] == h)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo, count = lo[at], np.searchsorted(self.grams, h[at], "right") - lo[at]
+        spots = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        return np.repeat(at, count), self.places[spots].astype(np.int64)
 
     def scan(self, text: str, least: int, one_in: int) -> list[tuple[int, int, int, int, int]]:
-        """(item, start, end, words, replaced) of the runs in a text, start and end in characters."""
-        found = words_of(text, self.known, self.compounds)
-        if len(found) < least:
+        """(item, start, end, words, replaced) of the runs in a text, start and end in characters.
+
+        The places of words in the text are worked out only where an n-gram hits.
+        """
+        get, found = self.known.get, None
+        if _LINE_END.search(text):
+            found = words_of(text, self.known, self.compounds)
+            words = [w for w, _, _ in found]
+        else:
+            plain = text.isascii() and "'" not in text  # then lower case is letter by letter and no word holds a sign
+            words = _WORD.findall(text.lower()) if plain else [_plain(w) for w in _WORD.findall(text)]
+            if self.compounds and not self.compounds.keys().isdisjoint(words):
+                found = words_of(text, self.known, self.compounds)
+                words = [w for w, _, _ in found]
+        if len(words) < least:
             return []
-        doc = [w for w, _, _ in found]
-        diagonals = set()
-        n, at, first = self.n, self.at, self.first
-        for k in range(len(doc) - n + 1):
-            if doc[k] in first:
-                for key, p in at.get(tuple(doc[k : k + n]), ()):
-                    diagonals.add((key, k - p))
+        doc = np.array([get(w, -1) for w in words], np.int64)
+        mine, theirs = self._hits(doc)
+        if not len(mine):
+            return []
+        found = found or words_of(text, self.known, self.compounds)
+        item = np.searchsorted(self.first, theirs, "right") - 1
         out = []
-        for key, shift in sorted(diagonals):
-            item = self.words[key]
-            lo, hi = max(0, shift), min(len(doc), len(item) + shift)
+        for i, shift in sorted({(int(i), int(s)) for i, s in zip(item, mine - theirs)}):
+            a, b = self.first[i], self.first[i + 1]
+            lo, hi = max(0, a + shift), min(len(doc), b + shift)
             if hi - lo < least:
                 continue
-            same = [doc[x] == item[x - shift] for x in range(lo, hi)]
-            for a, b in all_runs(same, least, one_in):
-                out.append((key, found[lo + a][1], found[lo + b][2], b - a + 1, same[a : b + 1].count(False)))
+            same = (doc[lo:hi] == self.ids[lo - shift : hi - shift]).tolist()
+            for x, y in all_runs(same, least, one_in):
+                out.append((self.keys[i], found[lo + x][1], found[lo + y][2], y - x + 1, same[x : y + 1].count(False)))
         return out
 
 
@@ -151,7 +197,7 @@ def all_runs(same: list[bool], least: int, one_in: int) -> list[tuple[int, int]]
 def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most so many words, read one partition at a time."""
     block, size = [], 0
-    for r in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").orderBy("item_id").toLocalIterator():
+    for r in items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         n = len(r["text"]) // 2 + 1
         if block and size + n > block_words:
             yield block
@@ -178,12 +224,11 @@ def leak_spans(
     kind = docs.schema[key].dataType
     out = None
     for block in _blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(ItemSet(block, n))
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            own = None
+            own = shared.value
             for b in batches:
-                own = own or ItemSet(shared.value, n)
                 rows = [(k, *r) for k, t in zip(b["key"], b["text"]) for r in own.scan(t, least, one_in)]
                 yield pd.DataFrame(rows, columns=["key", "item_id", "start", "end", "words", "replaced"])
 
@@ -207,3 +252,33 @@ def remove_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text: s
         lambda acc: F.concat(acc["out"], F.col(text).substr(acc["at"] + 1, F.length(F.col(text)))),
     )
     return docs.select(key, text).join(flat, key, "left").select(key, F.when(F.col("s").isNull(), F.col(text)).otherwise(cut).alias(text))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """(key, text): every document without leaked spans, so that scanning it again finds none.
+
+    What is left on both sides of a span may make a new run, so the documents that lost a span are scanned again
+    until no run is left; the others are read once. Each round shortens every document that it takes up. Null texts stay
+    null; of rows with the same key each is cleaned by all spans found under the key, so keys should be unique.
+    """
+    spans = Cut(leak_spans(docs, items, key, text, **how), "spans")
+    hits = Cut(spans.df.select(key).distinct(), "hits").df
+    hit = Cut(remove_spans(docs.join(hits, key, "left_semi"), spans.df, key, text), "cleaned")
+    out = docs.select(key, text).join(hits, key, "left_anti")
+    spans.drop()
+    done = []
+    while True:
+        again = Cut(leak_spans(hit.df, items, key, text, **how), "spans")
+        left = again.df.select(key).distinct()
+        done.append(Cut(hit.df.join(left, key, "left_anti"), "clean").df)
+        if again.df.isEmpty():
+            break
+        following = Cut(remove_spans(hit.df.join(left, key, "left_semi"), again.df, key, text), "cleaned")
+        hit.drop()
+        again.drop()
+        hit = following
+    hit.drop()
+    again.drop()
+    for x in done:
+        out = out.unionByName(x)
+    return out

@@ -100,9 +100,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents without the leaked passages."""
-    docs = table(spark, sf_dir, "documents")
-    return leaks.remove_spans(docs, p7_spans(spark, sf_dir))
+    """The documents without the leaked passages, scanned again until none is left."""
+    return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

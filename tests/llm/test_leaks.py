@@ -80,3 +80,25 @@ def test_two_passages_on_one_diagonal_are_removed(spark):
     spans = leaks.leak_spans(df, spark.createDataFrame([(1, "s", " ".join(item))], ITEM))
     assert sorted(x.words for x in spans.collect()) == [35, 35]
     assert leaks.remove_spans(df, spans).first().text.split() == before + between + after
+
+
+def test_cleaned_texts_hold_no_leak_again(spark):
+    r = random.Random(3)
+    a, b = words(r, 70), words(r, 45)
+    docs = {1: a[:20] + b + a[20:45], 2: a[:60], 3: words(r, 50), 4: a[:29] + ["x"] + b[:20], 5: None}
+    df = spark.createDataFrame([(k, " ".join(x) if x else None, 0, 0) for k, x in docs.items()] + [(None, " ".join(a), 0, 0)], DOC)
+    items = spark.createDataFrame([(1, "s", " ".join(a)), (1, "s", " ".join(a)), (2, "s", " ".join(b))], ITEM)
+    once = leaks.remove_spans(df, leaks.leak_spans(df, items))
+    assert {x.doc_id for x in leaks.leak_spans(once, items).collect()} == {1}  # what was left met
+    clean = leaks.without_leaks(df, items)
+    assert leaks.leak_spans(clean, items).count() == 0 and clean.count() == 6
+    got = {x.doc_id: x.text for x in clean.where("doc_id IS NOT NULL").collect()}
+    assert got[3] == " ".join(docs[3]) and got[4] == " ".join(docs[4]) and got[5] is None and not got[1].split() and not got[2].split()
+
+
+def test_hyphens_join_over_any_blank_space(spark):
+    r = random.Random(4)
+    item = words(r, 40)
+    text = " ".join(w if k % 4 else w[:3] + "-\n" + " " * 90 + w[3:] for k, w in enumerate(item, 1))
+    df = spark.createDataFrame([(1, text, 0, 0)], DOC)
+    assert [x.words for x in leaks.leak_spans(df, spark.createDataFrame([(1, "s", " ".join(item))], ITEM)).collect()] == [40]
