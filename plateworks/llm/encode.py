@@ -1,13 +1,13 @@
 """Encoding of a whole corpus with a public tokenizer, each distinct word once.
 
-Pre-tokens are exploded per document with all their positions (repeats within a document fold at once),
-the distinct words of the corpus are encoded, their ids are joined back by word and put in place by
-position. Decoding joins the table of token bytes.
-
-Scale: the pieces are written once to the shared folder and read twice, by word and for the join. A word
-that every document holds is one row per document; the dictionary is partially aggregated and the join is
-an equi-join that AQE broadcasts when the dictionary is measured small and splits where a word is hot.
-Empty and null texts have an empty list of ids.
+The distinct words of the corpus are gathered by one shuffle and encoded once each. Pre-tokens are then
+exploded per document with all their positions (repeats within a document fold at once), the ids are
+joined back by word and put in place by position. Decoding joins the table of token bytes.
+
+Scale: the texts are shuffled once, by document, and that partitioning lasts: where the dictionary is measured
+small it goes to every task, and pieces never leave the task that cut them. A larger dictionary is joined by a
+shuffle of the pieces, split by AQE where a word is hot, and the pieces go back to their documents by another.
+What a task holds is one document and a batch. Empty and null texts have an empty list of ids.
 """
 
 from __future__ import annotations
@@ -17,16 +17,19 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateworks.runtime import Cut, ship, spread
+from plateworks.runtime import Cut, ship, size_of, spread
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_VOCABULARY = os.environ.get("PLATEWORKS_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
-ROWS = 50_000
+#: Bytes of the written dictionary up to which every task gets it.
+SMALL = 32 * 2**20
 
 
 def vocabulary_text(path: str = DEFAULT_VOCABULARY) -> str:
@@ -52,43 +55,86 @@ def _pattern():
     return regex.compile(PATTERN)
 
 
-def pieces(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, at): every pre-token of a document once, with its positions in rising order."""
-    ship(docs.sparkSession)
-    source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("text IS NOT NULL AND text <> ''")
-    types = [("key", pa.int64()), ("word", pa.string()), ("at", pa.list_(pa.int32()))]
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """(word): every pre-token of the texts (a column `text`) once; each batch of texts sends a word once."""
+    ship(texts.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _pattern().findall
-        keys, words, lengths, flat = [], [], [], []
+        for b in batches:
+            own: set[str] = set()
+            for t in b.column(0):
+                own.update(find(t.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string())], names=["word"])
 
-        def flush() -> pa.RecordBatch:
-            offsets = pa.array([0, *lengths], pa.int64()).to_numpy().cumsum()
-            at = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            out = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.string()), at], schema=pa.schema(types))
-            for x in (keys, words, lengths, flat):
-                x.clear()
-            return out
+    return spread(texts.select("text").where("text IS NOT NULL AND text <> ''")).mapInArrow(split, "word string").distinct()
 
-        for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                own: dict[str, list[int]] = {}
-                for i, w in enumerate(find(t.as_py())):
-                    if w in own:
-                        own[w].append(i)
-                    else:
-                        own[w] = [i]
-                keys += [k] * len(own)
-                words += own
-                for v in own.values():
-                    lengths.append(len(v))
-                    flat += v
-                if len(keys) >= ROWS or len(flat) >= 4 * ROWS:
-                    yield flush()
-        if keys:
-            yield flush()
-
-    return spread(source).mapInArrow(split, "key bigint, word string, at array<int>")
+
+def pieces(text: Column) -> Column:
+    """array<struct<word, at>>: the pre-tokens of a text, each once, with its positions in rising order; empty for null."""
+    kind = pa.struct([("word", pa.string()), ("at", pa.list_(pa.int32()))])
+
+    @F.arrow_udf("array<struct<word:string,at:array<int>>>")
+    def split(texts: pa.Array) -> pa.Array:
+        find = _pattern().findall
+        words, counts, lengths, flat = [], [0], [0], []
+        for t in texts:
+            own: dict[str, list[int]] = {}
+            for i, w in enumerate(find(t.as_py() or "")):
+                if w in own:
+                    own[w].append(i)
+                else:
+                    own[w] = [i]
+            words += own
+            counts.append(len(own))
+            for v in own.values():
+                lengths.append(len(v))
+                flat += v
+        ends = lambda n: pa.array(np.cumsum(n), pa.int32())
+        at = pa.ListArray.from_arrays(ends(lengths), pa.array(flat, pa.int32()))
+        return pa.ListArray.from_arrays(ends(counts), pa.StructArray.from_arrays([pa.array(words, pa.string()), at], fields=list(kind)))
+
+    return split(text)
+
+
+def _whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(key, ids) of whole documents from their rows (key, at, ids), which come together; at and ids are null for a document without words."""
+    t = pa.Table.from_batches(batches).combine_chunks()
+    col = lambda name: t.column(name).chunk(0)
+    size = lambda c: pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+    flat = lambda c: pc.list_flatten(c).to_numpy(zero_copy_only=False)
+    keys, n_at, n_ids = col("key").to_numpy(zero_copy_only=False), size(col("at")), size(col("ids"))
+    at, ids = flat(col("at")), flat(col("ids"))
+    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    doc = np.cumsum(new) - 1
+    piece = np.repeat(np.arange(len(keys)), n_at)
+    places = np.bincount(doc, weights=n_at).astype(np.int64)
+    order = np.empty(len(piece), np.int64)
+    order[(np.cumsum(places) - places)[doc[piece]] + at] = piece  # the positions of a document are 0, 1, 2 and so on
+    count = n_ids[order]
+    starts = np.cumsum(n_ids) - n_ids
+    spots = np.repeat(starts[order] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc[order], weights=count, minlength=len(places)).astype(np.int64))])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[spots], pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(keys[new], pa.int64()), lists], names=["key", "ids"])
+
+
+def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts documents together from rows (key, at, ids) that are sorted by key; the last document of a batch waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column(0).to_numpy(zero_copy_only=False)
+        changes = np.flatnonzero(keys[1:] != keys[:-1])
+        first = int(changes[-1]) + 1 if len(changes) else 0  # of the last document
+        goes_on = bool(held) and held[-1].column(0)[-1].as_py() == keys[0]
+        if first or (held and not goes_on):
+            yield _whole([*held, *([b.slice(0, first)] if first else [])])
+            held = []
+        held.append(b.slice(first))
+    if held:
+        yield _whole(held)
 
 
 def dictionary(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -107,26 +153,25 @@ def dictionary(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.select("word").mapInArrow(encode, "word string, ids array<int>")
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(key, ids) of every row; no special tokens, their strings in a text are ordinary text.
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, small: int = SMALL) -> DataFrame:
+    """(key, ids), one row for each key; no special tokens, their strings in a text are ordinary text.
 
-    Rows with the same key and text count once; a null key is left out. The positions keep a document's
-    order whatever the size of the text; a document is put together in one task, as its list of ids is one value.
+    Repeated rows count once; of several texts under one key the greatest holds. A null key is left out. A document
+    is put together in one task, as its list of ids is one value.
     """
     vocabulary = vocabulary if vocabulary is not None else vocabulary_text()
-    once = docs.where(F.col(key).isNotNull()).select(F.col(key).alias(key), F.col(text).alias("text"))
-    split = Cut(pieces(once, key, "text"), "pieces").df
-    known = Cut(dictionary(split.select("word").distinct(), vocabulary), "words").df
-    placed = split.join(known, "word").select("key", F.struct("at", "ids").alias("x"))
-    spread = F.flatten(F.transform("x", lambda x: F.transform(x["at"], lambda p: F.struct(p.alias("p"), x["ids"].alias("ids")))))
-    whole = placed.groupBy("key").agg(F.collect_list("x").alias("x")).withColumn("s", F.array_sort(spread))
-    first = F.filter("s", lambda y, i: (i == 0) | (y["p"] != F.get(F.col("s"), i - 1)["p"]))  # a repeated row has each place twice
-    whole = whole.select("key", F.flatten(F.transform(first, lambda y: y["ids"])).alias("ids"))
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    written = Cut(dictionary(distinct_words(named), vocabulary), "words")
+    fits = size_of(written.spark, written.path) <= small
+    once = named.groupBy("key").agg(F.max("text").alias("text"))
+    each = once.select("key", F.explode_outer(pieces(F.col("text"))).alias("x"))
+    # a document without words has a key of its own, which no word can be
+    rows = each.select("key", F.coalesce("x.word", F.concat(F.lit("\0"), F.col("key").cast("string"))).alias("word"), "x.at")
+    placed = rows.join(F.broadcast(written.df) if fits else written.df.hint("shuffle_merge"), "word", "left").select("key", "at", "ids")
+    if not fits:
+        placed = placed.repartition("key")
     kind = docs.schema[key].dataType
-    return (
-        once.select(F.col(key).cast("bigint").alias("key")).distinct().join(whole, "key", "left")
-        .select(F.col("key").cast(kind).alias(key), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    )
+    return placed.sortWithinPartitions("key").mapInArrow(in_place, "key bigint, ids array<int>").select(F.col("key").cast(kind).alias(key), "ids")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
