@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,10 +50,20 @@ def _tokenizer(text: str):
 
 
 @lru_cache(maxsize=1)
-def _pattern():
+def _patterns():
+    """The pattern, and the same for ASCII texts alone, where the standard library is twice as fast."""
     import regex
 
-    return regex.compile(PATTERN)
+    blank = " \\t\\n\\r\\x0b\\x0c"
+    ascii_only = PATTERN.replace("[^\\s\\p{L}\\p{N}]", f"[^{blank}A-Za-z0-9]").replace("\\p{L}", "[A-Za-z]").replace("\\p{N}", "[0-9]")
+    ascii_only = ascii_only.replace("(?!\\S)", f"(?![^{blank}])").replace("\\s", f"[{blank}]")
+    return regex.compile(PATTERN).findall, re.compile(ascii_only).findall
+
+
+def pre_tokens(text: str) -> list[str]:
+    """The pieces that are encoded one by one; together they are the text."""
+    beyond, plain = _patterns()
+    return plain(text) if text.isascii() else beyond(text)
 
 
 def distinct_words(texts: DataFrame) -> DataFrame:
@@ -60,11 +71,10 @@ def distinct_words(texts: DataFrame) -> DataFrame:
     ship(texts.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _pattern().findall
         for b in batches:
             own: set[str] = set()
             for t in b.column(0):
-                own.update(find(t.as_py()))
+                own.update(pre_tokens(t.as_py()))
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string())], names=["word"])
 
     return spread(texts.select("text").where("text IS NOT NULL AND text <> ''")).mapInArrow(split, "word string").distinct()
@@ -76,11 +86,10 @@ def pieces(text: Column) -> Column:
 
     @F.arrow_udf("array<struct<word:string,at:array<int>>>")
     def split(texts: pa.Array) -> pa.Array:
-        find = _pattern().findall
         words, counts, lengths, flat = [], [0], [0], []
         for t in texts:
             own: dict[str, list[int]] = {}
-            for i, w in enumerate(find(t.as_py() or "")):
+            for i, w in enumerate(pre_tokens(t.as_py() or "")):
                 if w in own:
                     own[w].append(i)
                 else:

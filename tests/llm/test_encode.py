@@ -37,3 +37,14 @@ def test_documents_go_on_over_batches(spark):
         cut = [batch(rows[k : k + n]) for k in range(0, len(rows), n)]
         got = {k: i for b in encode.in_place(iter([batch([]), *cut])) for k, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
         assert got == {1: [7, 8, 9, 7], 2: [], 3: [5, 6, 4], 4: [3]}
+
+
+def test_ascii_pieces_equal_the_pattern():
+    import random
+
+    import regex
+
+    r, letters = random.Random(1), "".join(map(chr, range(128)))
+    texts = ["".join(r.choice(letters) for _ in range(40)) for _ in range(3000)] + ["it's  a\n\n b 12x'll  ", ""]
+    for t in texts:
+        assert encode.pre_tokens(t) == regex.findall(encode.PATTERN, t) and "".join(encode.pre_tokens(t)) == t
