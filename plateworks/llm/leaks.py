@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,7 @@ _DROP = re.compile(r"['’­​-‍⁠﻿]+")
 _BROKEN = re.compile(r"[-‐‑­][ \t]*\r?\n\s*\Z")
 _HYPHEN = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)+")
 _LINE_END = re.compile(r"[-‐‑­][ \t]*\r?\n")
+_BREAK = re.compile(r"([^\W_]+(?:['’­​-‍⁠﻿]+[^\W_]+)*)[-‐‑­][ \t]*\r?\n\s*([^\W_]+(?:['’­​-‍⁠﻿]+[^\W_]+)*)")
 
 
 def _plain(raw: str) -> str:
@@ -95,41 +97,55 @@ class ItemSet:
         self.grams, self.places = self.grams[order], (np.concatenate(places) if places else np.zeros(0, np.int32))[order]
         self.compounds = {c: p for c, p in self.compounds.items() if c not in self.known}
 
+    def _quick(self, text: str) -> list[str] | None:
+        """The words of a text without their places; None if only words_of() can tell."""
+        if _LINE_END.search(text):
+            text = _BREAK.sub(self._joined, text)
+            if _LINE_END.search(text):
+                return None  # a word in three parts
+        plain = text.isascii() and "'" not in text  # then lower case is letter by letter and no word holds a sign
+        words = _WORD.findall(text.lower()) if plain else [_plain(w) for w in _WORD.findall(text)]
+        return None if self.compounds and not self.compounds.keys().isdisjoint(words) else words
+
+    def _joined(self, m: re.Match) -> str:
+        whole = _plain(m.group(1)) + _plain(m.group(2))
+        return whole if whole in self.known else f"{m.group(1)} {m.group(2)}"
+
+    def suspects(self, texts: list[str]) -> list[int]:
+        """The places of the texts that hold an n-gram of the set, and perhaps of some more."""
+        out, rows, at = set(), [], []
+        for i, t in enumerate(texts):
+            words = self._quick(t)
+            if words is None:
+                out.add(i)
+            elif len(words) >= self.n:
+                rows.append(np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words)))
+                at.append(i)
+        if rows:
+            hit = np.flatnonzero(self._in_set(gram_hashes(np.concatenate(rows), self.n)))
+            ends = np.cumsum([len(r) for r in rows])
+            out.update(at[k] for k in np.unique(np.searchsorted(ends, hit, "right")))
+        return sorted(out)
+
+    def _in_set(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(len(h), bool)
+        return self.grams[np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)] == h
+
     def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the document and of the items where their n-grams are equal."""
         h = gram_hashes(ids, self.n)
-        if not len(h) or not len(self.grams):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo = np.searchsorted(self.grams, h, "left")
-        at = np.flatnonzero(self.grams[np.minimum(lo, len(self.grams) - 1)] == h)
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lo, count = lo[at], np.searchsorted(self.grams, h[at], "right") - lo[at]
-        spots = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        at = np.flatnonzero(self._in_set(h))
+        lo, hi = (np.searchsorted(self.grams, h[at], side) for side in ("left", "right"))
+        count = hi - lo
+        spots = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
         return np.repeat(at, count), self.places[spots].astype(np.int64)
 
     def scan(self, text: str, least: int, one_in: int) -> list[tuple[int, int, int, int, int]]:
-        """(item, start, end, words, replaced) of the runs in a text, start and end in characters.
-
-        The places of words in the text are worked out only where an n-gram hits.
-        """
-        get, found = self.known.get, None
-        if _LINE_END.search(text):
-            found = words_of(text, self.known, self.compounds)
-            words = [w for w, _, _ in found]
-        else:
-            plain = text.isascii() and "'" not in text  # then lower case is letter by letter and no word holds a sign
-            words = _WORD.findall(text.lower()) if plain else [_plain(w) for w in _WORD.findall(text)]
-            if self.compounds and not self.compounds.keys().isdisjoint(words):
-                found = words_of(text, self.known, self.compounds)
-                words = [w for w, _, _ in found]
-        if len(words) < least:
-            return []
-        doc = np.array([get(w, -1) for w in words], np.int64)
+        """(item, start, end, words, replaced) of the runs in a text, start and end in characters."""
+        found = words_of(text, self.known, self.compounds)
+        doc = np.array([self.known.get(w, -1) for w, _, _ in found], np.int64)
         mine, theirs = self._hits(doc)
-        if not len(mine):
-            return []
-        found = found or words_of(text, self.known, self.compounds)
         item = np.searchsorted(self.first, theirs, "right") - 1
         out = []
         for i, shift in sorted({(int(i), int(s)) for i, s in zip(item, mine - theirs)}):
@@ -229,7 +245,8 @@ def leak_spans(
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             own = shared.value
             for b in batches:
-                rows = [(k, *r) for k, t in zip(b["key"], b["text"]) for r in own.scan(t, least, one_in)]
+                keys, texts = b["key"].tolist(), b["text"].tolist()
+                rows = [(keys[i], *r) for i in own.suspects(texts) for r in own.scan(texts[i], least, one_in)]
                 yield pd.DataFrame(rows, columns=["key", "item_id", "start", "end", "words", "replaced"])
 
         found = source.mapInPandas(scan, schema)

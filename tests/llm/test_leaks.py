@@ -102,3 +102,12 @@ def test_hyphens_join_over_any_blank_space(spark):
     text = " ".join(w if k % 4 else w[:3] + "-\n" + " " * 90 + w[3:] for k, w in enumerate(item, 1))
     df = spark.createDataFrame([(1, text, 0, 0)], DOC)
     assert [x.words for x in leaks.leak_spans(df, spark.createDataFrame([(1, "s", " ".join(item))], ITEM)).collect()] == [40]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["alpha", "beta", "gam", "ma", "spin", "cast", "spincast", "it's", "É", "x1"]), st.sampled_from([" ", "-", "-\n", "- \n  ", "\n", ", ", "'", "\u00ad\n", "--\n"])), max_size=30))
+def test_quick_words_equal_the_words_with_places(parts):
+    own = leaks.ItemSet([(1, "alpha beta gamma spin-cast gam ma betagam alpha x1spin castspin")], 3)
+    text = "".join(a + b for a, b in parts)
+    quick = own._quick(text)
+    assert quick is None or quick == [w for w, _, _ in leaks.words_of(text, own.known, own.compounds)]
