@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateworks.functions.notation import instant, plain
-from plateworks.operators.ledger import changes_by_run
-from plateworks.runtime import table
+from plateworks.operators.ledger import ChangeFeed, changes_by_run, feed_runs
+from plateworks.runtime import new_path, table
 
 
 def item_states(items: DataFrame) -> DataFrame:
@@ -23,26 +23,43 @@ def item_states(items: DataFrame) -> DataFrame:
     )
 
 
+STATE = {"keys": ["batch_id", "item_id"], "sequence": "load_no", "version": ["changed_at", "load_no"], "compare": ["status", "started", "completed"]}
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return item_states(table(spark, sf_dir, "batch_items")).where("batch_id IS NOT NULL AND item_id IS NOT NULL AND changed_at IS NOT NULL AND load_no IS NOT NULL")
+
+
+def _succeeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "ingest_runs").where(plain(F.col("outcome")) == "succeeded")
+    return runs.where("run_no IS NOT NULL AND upto_load IS NOT NULL").groupBy("run_no").agg(F.max("upto_load").alias("upto"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(run_no, batch_id, item_id) of what each successful run hands on.
 
-    Rows without batch_id, item_id or changed_at name no state and are left out. Of two rows with the same
+    Every successful run subtracts what is done from what it saw, works on the gap and commits. Rows without
+    batch_id, item_id, changed_at or load_no name no state and are left out. Of two rows with the same
     changed_at the one of the later load holds, then the greater values.
     """
-    states = item_states(table(spark, sf_dir, "batch_items")).where(
-        "batch_id IS NOT NULL AND item_id IS NOT NULL AND changed_at IS NOT NULL"
-    )
-    runs = table(spark, sf_dir, "ingest_runs").where(plain(F.col("outcome")) == "succeeded").select(
-        "run_no", F.col("upto_load").alias("upto")
-    )
-    return changes_by_run(
-        states,
-        runs,
-        keys=["batch_id", "item_id"],
-        sequence="load_no",
-        version=["changed_at", "load_no"],
-        compare=["status", "started", "completed"],
-    )
+    runs = [(r["run_no"], r["upto"]) for r in _succeeded(spark, sf_dir).collect()]
+    return feed_runs(_log(spark, sf_dir), runs, new_path(spark, "feed"), **STATE)
+
+
+def replayed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as p4_found, worked out from the whole log in one pass: what a ledger that was lost is checked against."""
+    return changes_by_run(_log(spark, sf_dir), _succeeded(spark, sf_dir), **STATE)
+
+
+def late_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs 1 to 4 over six loads more each, in which every fifth load is committed late, for the run after: it lies in a range that is done."""
+    feed = ChangeFeed(spark, new_path(spark, "feed"), **STATE)
+    log = _log(spark, sf_dir)
+    for run in range(1, 5):
+        late = [n for n in range(6 * run - 5, 6 * run + 1) if n % 5 == 0]
+        edges = [0, *late, 6 * run + 1]
+        feed.run(run, log, [(a + 1, b - 1) for a, b in zip(edges, edges[1:])])
+    return feed.handed_on()
 
 
 P4_FOUND_SQL = """
@@ -68,5 +85,9 @@ WHERE o.run_no IS NULL OR n.status IS DISTINCT FROM o.status
   OR n.started IS DISTINCT FROM o.started OR n.completed IS DISTINCT FROM o.completed
 """
 
-QUERIES = {"p4_found": p4_found}
-SQL = {"p4_found": P4_FOUND_SQL}
+LATE_SQL = P4_FOUND_SQL.replace("runs AS (", "runs AS (SELECT range AS run_no, 6 * range AS upto FROM range(1, 5)), unused AS (", 1).replace(
+    "ON s.load_no <= r.upto", "ON s.load_no <= r.upto AND NOT (s.load_no % 5 = 0 AND s.load_no > r.upto - 6)", 1
+)
+
+QUERIES = {"p4_found": p4_found, "replayed_runs": replayed_runs, "late_loads": late_loads}
+SQL = {"p4_found": P4_FOUND_SQL, "replayed_runs": P4_FOUND_SQL, "late_loads": LATE_SQL}

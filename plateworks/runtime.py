@@ -31,12 +31,15 @@ def session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset (tests on one machine) a
-    temporary folder is made, and removed when the process ends.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and the master is local (tests on
+    one machine) a temporary folder is made, and removed when the process ends; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="plateworks-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
@@ -54,17 +57,28 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_CUTS: set[str] = set()
+
+
 class Cut:
     """A table written to the shared folder: it cuts the lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame, name: str) -> None:
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
+        _CUTS.add(self.path)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         delete(self.spark, self.path)
+        _CUTS.discard(self.path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all cuts that are left, once no result that reads them is needed any more."""
+    while _CUTS:
+        delete(spark, _CUTS.pop())
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
