@@ -27,8 +27,8 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(_components(records), TARGETS).withColumnRenamed("node", "record_no")
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of items of different batches that hold the same paper.
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The items, and the links that were found among them.
 
     The batches come in two waves, by the load that first brought them: the first fills the index, the
     second is probed against it.
@@ -42,7 +42,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         wave = items.join(first.where((F.col("first") > middle) == late), "batch_id", "left_semi")
         found = index.ingest(wave)
         links = found if links is None else links.unionByName(found)
-    return history.same_paper_pairs(items, links)
+    return items, links
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of items of different batches that hold the same paper."""
+    return history.same_paper_pairs(*_ingested(spark, sf_dir))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, paper, links): every item with the smallest item that holds the same paper, and its number of links."""
+    return history.same_paper_classes(*_ingested(spark, sf_dir))
 
 
 FIELDS = ("caption", "reviewer", "figure_number", "caption_kind")
@@ -123,7 +133,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p3_found": p3_found, "p3_bundles": p3_bundles,
+    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_bundles": p3_bundles,
     "p5_found": p5_found, "p5_forms": p5_forms,
     "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned,
     "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,

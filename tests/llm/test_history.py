@@ -159,3 +159,43 @@ def test_long_titles_equal_brute_force(spark, monkeypatch, heavy):
             titles.append(" ".join([*words[:w], slip(words[w], r), *words[w + 1 :]]))
     got, want = links_of(spark, titles)
     assert got == want and len(want) > 100
+
+
+def test_a_batch_reads_the_buckets_of_its_keys_only(spark, tmp_path):
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    title = lambda: " ".join(word() for _ in range(4))
+    old = [(f"b{k}", f"i{k}", f"j{k:05d}", f"/srv/x/{title()}.pdf", 10**6, f"{k:064x}", 1, "", 0) for k in range(3000)]
+    batch = [("new", "n1", "n00001", old[7][3], 10**6, None, 2, "", 0), ("new", "n2", "n00002", "/srv/x/else.pdf", 5, f"{9:064x}", 2, "", 0)]
+    read = {}
+    for size in (300, 3000):
+        index = history.HistoryIndex(spark, new_path(spark, "history"), bucket=8)
+        index.ingest(history.fold_items(spark.createDataFrame(old[:size], LOG)))
+        (segment,) = index.log.last()[1]["segments"]
+        keys = history.fold_items(spark.createDataFrame(batch, LOG))
+        keys = keys.select(F.xxhash64("title", history._band(F.col("size"))).alias("cid"))
+        met = index._old([segment], "classes", keys)
+        read[size] = (met.count(), segment["buckets"])
+        links = {tuple(x) for x in index.ingest(history.fold_items(spark.createDataFrame(batch, LOG))).collect()}
+        assert links == {("n00001", "j00007"), ("n00002", "j00009")}
+    assert read[3000][1] >= 8 * read[300][1] and read[3000][0] <= 2 * 3 * 8 and read[300][0] <= 2 * 3 * 8
+
+
+def test_segments_merge_and_failed_runs_leave_nothing(spark, monkeypatch):
+    items = history.fold_items(spark.createDataFrame(make(9, 160), LOG)).cache()
+    index = history.HistoryIndex(spark, new_path(spark, "history"), bucket=16, fan=2)
+    links = None
+    for w in range(4):
+        wave = items.where(F.pmod(F.crc32("batch_id"), F.lit(4)) == w)
+        if w == 2:  # a run fails before its commit and is repeated
+            with monkeypatch.context() as m:
+                m.setattr(index.log, "commit", lambda n, e: 1 / 0)
+                with pytest.raises(ZeroDivisionError):
+                    index.ingest(wave)
+        found = index.ingest(wave)
+        links = found if links is None else links.unionByName(found)
+    assert len(index.log.last()[1]["segments"]) < 4
+    pairs = {tuple(r) for r in history.same_paper_pairs(items, links).collect()}
+    assert pairs == brute([r.asDict() for r in items.collect()])
+    papers = {r.job_id: r.paper for r in history.same_paper_classes(items, links).collect()}
+    assert len(papers) == items.count() and all(papers[a] == papers[b] for a, b in pairs)
