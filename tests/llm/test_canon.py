@@ -3,6 +3,8 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from plateworks.llm import canon
 
 SAME = [
@@ -24,7 +26,7 @@ TEXT = st.text(st.one_of(st.characters(min_codepoint=32, max_codepoint=0x2FFFF,
 @given(TEXT)
 def test_segments_equal_the_whole_and_stay(text):
     once = canon.canonical(text)
-    assert once == " ".join(canon._normal(text).split())
+    assert once == " ".join(canon.canonical.normal(canon._CONTROL.sub("", text)).split())
     assert canon.canonical(unicodedata.normalize("NFD", text)) == once and canon.canonical(unicodedata.normalize("NFC", text)) == once
 
 
@@ -40,3 +42,13 @@ def test_pairs(spark):
     got = {r.figure_no: r.canonical_caption for r in formed.collect()}
     assert got[2] == "Fig 1" and got[5] is None and got[6] == "" and len(got) == 11
     assert canon.look_alike_pairs(canon.forms(spark.createDataFrame([], schema))).count() == 0
+    assert {tuple(r) for r in canon.look_alike_classes(formed).collect()} == {(1, 1, 2), (2, 1, 2), (3, 1, 2), (8, 8, 1), (9, 8, 1)}
+
+
+def test_the_public_table_and_control_characters(spark):
+    full = canon.Canon(canon.public_look_alikes(spark))
+    same = [("Ꮪ", "S"), ("ѵ", "v"), ("ν", "v"), ("Сu", "Cu"), ("a\x07b", "ab"), ("É\x07b\x9f", "Éb"), ("ԁ", "d"), ("ꓢ", "S"), *SAME]
+    assert [p for p in same if full(p[0]) != full(p[1])] == []
+    assert [p for p in [*DIFFERENT, ("α", "a"), ("γ", "y"), ("σ", "o"), ("И", "N"), ("μ", "u"), ("ß", "B")] if full(p[0]) == full(p[1])] == []
+    df = spark.createDataFrame([("a\x07b\x1f c",), ("\x7fa b",), ("É\x07",), (None,)], "t string")
+    assert [r[0] for r in df.select(canon.canonical_column(F.col("t"), canon._ALIKE)).collect()] == ["ab c", "a b", "É", None]
