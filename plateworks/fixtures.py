@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plateworks.runtime import table
+from plateworks.runtime import cut, table
 
 PAGE_WIDTH, PAGE_HEIGHT = 595.0, 842.0
 
@@ -34,13 +34,20 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("id", F.row_number().over(w))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, sf_dir).where(~F.col("caption")).drop("caption")
+def images(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    return (blocks(spark, sf_dir) if rows is None else rows).where(~F.col("caption")).drop("caption")
 
 
-def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Caption blocks, each with a kind and a number of its own in the document's page."""
-    return blocks(spark, sf_dir).where("caption").drop("caption").withColumn("kind", F.when(F.col("id") % 4 == 0, "scheme").otherwise("figure"))
+def pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """images() and captions() of blocks that are worked out once."""
+    rows = cut(blocks(spark, sf_dir), "blocks")
+    return images(spark, sf_dir, rows), captions(spark, sf_dir, rows)
+
+
+def captions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Caption blocks with a kind and a number; a caption may have two blocks on a page."""
+    rows = (blocks(spark, sf_dir) if rows is None else rows).where("caption").drop("caption")
+    return rows.withColumn("kind", F.when(F.col("id") % 4 == 0, "scheme").otherwise("figure")).withColumn("number", (F.floor(F.col("id") / 2)).cast("string"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,4 +70,4 @@ blocks AS (
   SELECT doc, page, caption, x0, y0, x0 + w AS x1, y0 + h AS y1,
     row_number() OVER (PARTITION BY doc, page, caption ORDER BY y0, x0, x0 + w, y0 + h) AS id FROM r),
 img AS (SELECT * EXCLUDE (caption) FROM blocks WHERE NOT caption),
-cap AS (SELECT * EXCLUDE (caption), CASE WHEN id % 4 = 0 THEN 'scheme' ELSE 'figure' END AS kind FROM blocks WHERE caption)"""
+cap AS (SELECT * EXCLUDE (caption), CASE WHEN id % 4 = 0 THEN 'scheme' ELSE 'figure' END AS kind, CAST(id // 2 AS VARCHAR) AS number FROM blocks WHERE caption)"""

@@ -1,6 +1,6 @@
 """Captions, image blocks and the joins between their rectangles.
 
-Tables: images (doc, page, id, x0, y0, x1, y1), captions (the same and kind). All pairings are grid
+Tables: images (doc, page, id, x0, y0, x1, y1), captions (the same, kind and number). All pairings are grid
 joins: a rectangle goes to the cells it covers, partners meet in a cell of one page, and each pair is
 kept in the first cell that both cover. So the join keys are fine even if one page holds a third of all
 rows, and no pair comes out twice. Rows with null coordinates meet nothing.
@@ -19,20 +19,25 @@ from plateworks.functions.rects import (
 )
 from plateworks.operators.components import connected_components
 from plateworks.operators.folds import fold_groups
+from plateworks.runtime import cut
 
 CELL = 200.0
 PAGE = ("doc", "page")
 
 
-def _cells(df: DataFrame, tag: str, reach: float | tuple[Column, Column]) -> DataFrame:
+Reach = float | tuple[Column | float | None, Column | float | None]
+
+
+def _cells(df: DataFrame, tag: str, reach: Reach) -> DataFrame:
+    """df with a row for each cell that a rectangle covers, widened by the reach; an axis whose reach is None has one cell."""
     r = Rect.of(tag, "_")
     rx, ry = reach if isinstance(reach, tuple) else (reach, reach)
     at = lambda c: F.floor(c / CELL).cast("int")
-    return (
-        df.withColumn(f"{tag}_cx", at(r.x0 - rx)).withColumn(f"{tag}_cy", at(r.y0 - ry))
-        .withColumn("cell_x", F.explode(F.sequence(f"{tag}_cx", at(r.x1 + rx))))
-        .withColumn("cell_y", F.explode(F.sequence(f"{tag}_cy", at(r.y1 + ry))))
-    )
+    out = df
+    for axis, low, high, d in (("x", r.x0, r.x1, rx), ("y", r.y0, r.y1, ry)):
+        first, last = (F.lit(0), F.lit(0)) if d is None else (at(low - d), at(high + d))
+        out = out.withColumn(f"{tag}_c{axis}", first).withColumn(f"cell_{axis}", F.explode(F.sequence(f"{tag}_c{axis}", last)))
+    return out
 
 
 def tagged(df: DataFrame, tag: str, keys: Sequence[str] = PAGE) -> DataFrame:
@@ -40,15 +45,16 @@ def tagged(df: DataFrame, tag: str, keys: Sequence[str] = PAGE) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in keys])
 
 
-def near_pairs(left: DataFrame, right: DataFrame, condition: Column, reach: float | tuple[Column, Column] = 0.0, keys: Sequence[str] = PAGE) -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, condition: Column, reach: Reach = 0.0, keys: Sequence[str] = PAGE) -> DataFrame:
     """Pairs of one page whose rectangles are at most `reach` apart on both axes and fulfil the condition.
 
-    reach is a number, or two Columns of the left table for the two axes.
+    reach is a number, or for each axis a number, a Column of the left table, or None where any distance will do.
     left and right are tagged tables; the condition must not hold beyond the reach.
     """
     (lt,) = {c.rpartition("_x0")[0] for c in left.columns if c.endswith("_x0")}
     (rt,) = {c.rpartition("_x0")[0] for c in right.columns if c.endswith("_x0")}
-    joined = _cells(left, lt, reach).join(_cells(right, rt, 0.0), [*keys, "cell_x", "cell_y"])
+    flat = tuple(None if d is None else 0.0 for d in (reach if isinstance(reach, tuple) else (reach, reach)))
+    joined = _cells(left, lt, reach).join(_cells(right, rt, flat), [*keys, "cell_x", "cell_y"])
     first = (F.col("cell_x") == F.greatest(f"{lt}_cx", f"{rt}_cx")) & (F.col("cell_y") == F.greatest(f"{lt}_cy", f"{rt}_cy"))
     return joined.where(first & condition).drop("cell_x", "cell_y", f"{lt}_cx", f"{lt}_cy", f"{rt}_cx", f"{rt}_cy")
 
@@ -78,10 +84,11 @@ def neighbors(images: DataFrame, captions: DataFrame) -> DataFrame:
     """(doc, page, a_id, b_id): image blocks that belong to one figure.
 
     They touch (but not as a picture on a large background), stand close in one row, or close in one column;
-    different owners part them, and so do captions between them or, in a row, two captions below.
+    different owners part them, and so do captions between them or, in a row, two captions below, which two
+    blocks of one caption (the same kind and number) are not.
     """
     a, b = Rect.of("a", "_"), Rect.of("b", "_")
-    owned = images.join(caption_owner(images, captions), [*PAGE, "id"], "left")
+    owned = cut(images.join(caption_owner(images, captions), [*PAGE, "id"], "left"), "owned")
     gx, gy = x_gap(a, b), y_gap(a, b)
     touch = (gx == 0) & (gy == 0)
     backdrop = (smaller_coverage(a, b) >= 0.90) & (area_similarity(a, b) < 0.55)
@@ -91,9 +98,9 @@ def neighbors(images: DataFrame, captions: DataFrame) -> DataFrame:
     kind = F.when(touch & ~backdrop, "touch").when(row, "row").when(column, "column")
     # a gap counts against the smaller side, so the left block's own size bounds it
     reach = (F.greatest(F.lit(10.0), a.width * 0.25), F.greatest(F.lit(10.0), a.height * 0.20))
-    pairs = near_pairs(
+    pairs = cut(near_pairs(
         tagged(owned, "a"), tagged(owned, "b"), (F.col("a_id") < F.col("b_id")) & ~F.coalesce(other, F.lit(False)) & kind.isNotNull(), reach
-    ).withColumn("kind", kind)
+    ).withColumn("kind", kind), "pairs")
     u = union(a, b)
     spans = pairs.where("kind <> 'touch'").select(
         *PAGE, F.col("a_id").alias("p_a"), F.col("b_id").alias("p_b"), F.col("kind").alias("p_kind"),
@@ -110,9 +117,11 @@ def neighbors(images: DataFrame, captions: DataFrame) -> DataFrame:
     below = (
         (F.col("p_kind") == "row") & F.col("p_level") & F.col("p_apart") & (c.y0 - p.y1).between(-12, 105) & (c.x1 >= p.x0 - 24) & (c.x0 <= p.x1 + 24)
     )
-    met = near_pairs(spans, tagged(captions, "c"), between | below, 110)
+    across, down = (F.when(F.col("p_kind") == "row", far).otherwise(close) for far, close in ((24.0, 0.0), (105.0, 4.0)))
+    same = ["c_kind", "c_number"] if {"kind", "number"} <= set(captions.columns) else ["c_id"]
+    met = near_pairs(spans, tagged(captions, "c"), between | below, (across, down))
     parted = met.groupBy(*PAGE, F.col("p_a").alias("a_id"), F.col("p_b").alias("b_id")).agg(
-        F.first("p_kind").alias("k"), F.countDistinct("c_id").alias("n")
+        F.first("p_kind").alias("k"), F.countDistinct(*same).alias("n")
     ).where("k = 'column' OR n >= 2").select(*PAGE, "a_id", "b_id")
     return pairs.select(*PAGE, "a_id", "b_id").join(parted, [*PAGE, "a_id", "b_id"], "left_anti")
 
@@ -190,12 +199,12 @@ def row_match(images: DataFrame, captions: DataFrame) -> DataFrame:
     """
     a, b, c = Rect.of("a", "_"), Rect.of("b", "_"), Rect.of("c", "_")
     beside = F.abs(c.y0 - b.y0) <= F.greatest(F.lit(18.0), F.greatest(F.lit(1.0), b.height) * 1.8)
-    siblings = near_pairs(tagged(captions, "b"), tagged(captions, "c"), beside, 2000)
+    siblings = near_pairs(tagged(captions, "b"), tagged(captions, "c"), beside, (None, F.greatest(F.lit(18.0), b.height * 1.8)))
     place = siblings.groupBy(*PAGE, "b_id", "b_y0").agg(
         F.count("*").alias("n"),
         F.count_if((c.x0 < b.x0) | ((c.x0 == b.x0) & (F.col("c_id") < F.col("b_id")))).alias("place"),
     ).where("n >= 2")
-    above = near_pairs(tagged(images, "a"), tagged(captions, "b"), (b.y0 - a.y1).between(-14, 125), 2000)
+    above = near_pairs(tagged(images, "a"), tagged(captions, "b"), (b.y0 - a.y1).between(-14, 125), (None, 125.0))
     row = above.groupBy(*PAGE, "b_id").agg(
         F.count("*").alias("m"), (F.max(a.cy) - F.min(a.cy)).alias("spread"), F.greatest(F.lit(1.0), F.max(a.height)).alias("tall"),
     ).where("spread <= 0.35 * tall")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plateworks.operators import pixels
+from plateworks.operators import labels, pixels
 from plateworks.runtime import ship, spread
 
 PANEL_SCHEMA = (
@@ -20,10 +20,10 @@ PANEL_SCHEMA = (
 CUT_SCHEMA = "key bigint, n int, vertical boolean, pos int, density double, blank double, fallback boolean, depth int"
 
 
-def _cut_image(key: int, image: np.ndarray, labels: list[dict], unit: float) -> tuple[list[tuple], list[tuple]]:
+def _cut_image(key: int, image: np.ndarray, known: list[dict], unit: float) -> tuple[list[tuple], list[tuple]]:
     mask = pixels.content_mask(image)
-    leaves, cuts = pixels.xy_cut(mask, labels, unit)
-    by = {q["letter"]: q for q in labels}
+    leaves, cuts = pixels.xy_cut(mask, known, unit)
+    by = {q["letter"]: q for q in known}
     panels = []
     for leaf in leaves:
         if len(leaf["letters"]) == 1:
@@ -33,47 +33,104 @@ def _cut_image(key: int, image: np.ndarray, labels: list[dict], unit: float) ->
     return panels, [(key, i, c["vertical"], c["pos"], c["density"], c["blank"], c["fallback"], c["depth"]) for i, c in enumerate(cuts)]
 
 
-def split_images(images: DataFrame, what: str = "panels") -> DataFrame:
-    """Panels (or cuts) of each image: key, height, width, data (blue, green, red bytes), labels array<struct<letter,x,y,w,h>>.
+LABEL_SCHEMA = "key bigint, letter string, x double, y double, w double, h double, quality double, alphabet string, unit double, score double"
 
-    One image at a time in a task; an image that can't be read gives no row. No shuffle.
+
+def _pictures(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    """Batches of (row, image); rows whose bytes don't make an image are left out."""
+    for b in batches:
+        out = []
+        for r in b.itertuples(index=False):
+            try:
+                out.append((r, np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)))
+            except (ValueError, TypeError):
+                continue
+        yield out
+
+
+def _dicts(rows) -> list[dict]:
+    return [dict(q) if isinstance(q, dict) else q.asDict() for q in (rows if rows is not None else [])]
+
+
+def detect_labels(images: DataFrame, bank: labels.Bank | None = None, mode: str = "auto") -> DataFrame:
+    """The panel letters of each image (LABEL_SCHEMA): key, height, width, data, and words if there is OCR: array<struct<text,left,top,width,height,conf>>.
+
+    One image at a time in a task; an image that can't be read, or without letters, gives no row. No shuffle; the
+    bank of templates, a few hundred bitmaps, is broadcast.
     """
-    ship(images.sparkSession)
-    schema = PANEL_SCHEMA if what == "panels" else CUT_SCHEMA
-    names = [c.split()[0] for c in schema.split(", ")]
+    spark = images.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(bank or labels.template_bank(spark))
+    names = [c.split()[0] for c in LABEL_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for pictures in _pictures(batches):
             rows = []
-            for r in b.itertuples(index=False):
-                try:
-                    image = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)
-                except (ValueError, TypeError):
-                    continue
-                labels = [dict(q) if isinstance(q, dict) else q.asDict() for q in (r.labels if r.labels is not None else [])]
-                found = _cut_image(int(r.key), image, labels, float(np.median([q["h"] for q in labels]) if labels else 10))
-                rows += found[0] if what == "panels" else found[1]
+            for r, image in pictures:
+                d = labels.find_labels(image, shared.value, _dicts(getattr(r, "words", None)), mode)
+                rows += [(int(r.key), q["letter"], q["x"], q["y"], q["w"], q["h"], q["quality"], d.alphabet[0], d.unit, d.score) for q in d.labels]
             yield pd.DataFrame(rows, columns=names)
 
-    return images.select("key", "height", "width", "data", "labels").mapInPandas(run, schema)
+    extra = ["words"] if "words" in images.columns else []
+    return images.select("key", "height", "width", "data", *extra).mapInPandas(run, LABEL_SCHEMA)
+
+
+def split_images(images: DataFrame, what: str = "panels", bank: labels.Bank | None = None, mode: str = "auto") -> DataFrame:
+    """Panels (or cuts, or both) of each image: key, height, width, data (blue, green, red bytes), and labels, array<struct<letter,x,y,w,h>>, if they are known.
 
+    Without a column of labels the letters are found in the image. `both` gives (key, panels, cuts) as arrays, from
+    one pass. One image at a time in a task; an image that can't be read gives no row. No shuffle.
+    """
+    spark = images.sparkSession
+    ship(spark)
+    given = "labels" in images.columns
+    shared = None if given else spark.sparkContext.broadcast(bank or labels.template_bank(spark))
+    kinds = {"panels": PANEL_SCHEMA, "cuts": CUT_SCHEMA}
+    fields = {k: [c.split() for c in v.split(", ")] for k, v in kinds.items()}
+    whole = "key bigint, " + ", ".join(f"{k} array<struct<{','.join(f'{n}:{t}' for n, t in f)}>>" for k, f in fields.items())
 
-def draw_figures(figures: DataFrame) -> DataFrame:
-    """Test images of (key, n): n panels in rows of three, grey blocks on white with a label mark in each corner."""
-    ship(figures.sparkSession)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pictures in _pictures(batches):
+            rows = []
+            for r, image in pictures:
+                if given:
+                    known = _dicts(r.labels)
+                    unit = float(np.median([q["h"] for q in known]) if known else 10)
+                else:
+                    d = labels.find_labels(image, shared.value, (), mode)
+                    known, unit = d.labels, d.unit
+                found = _cut_image(int(r.key), image, known, unit)
+                if what == "both":
+                    rows.append((int(r.key), *([dict(zip([n for n, _ in fields[k]], x)) for x in own] for k, own in zip(kinds, found))))
+                else:
+                    rows += found[0] if what == "panels" else found[1]
+            yield pd.DataFrame(rows, columns=["key", *kinds] if what == "both" else [n for n, _ in fields[what]])
+
+    return images.select("key", "height", "width", "data", *(["labels"] if given else [])).mapInPandas(run, whole if what == "both" else kinds[what])
+
+
+def draw_figures(figures: DataFrame, bank: labels.Bank | None = None) -> DataFrame:
+    """Test images of (key, n): n panels in rows of three, grey blocks on white, each with its letter at the upper left corner."""
+    spark = figures.sparkSession
+    ship(spark)
+    bank = bank or labels.template_bank(spark)
+    stamps = spark.sparkContext.broadcast({c: bank.bitmaps[bank.letters.index(c)][::4, ::4] for c in labels.UPPER})
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, n in zip(b["key"], b["n"]):
                 across, down = min(3, n), -(-n // 3)
-                image = np.full((down * 80, across * 100, 3), 255, np.uint8)
-                labels = []
+                image = np.full((down * 120 + 120, across * 130, 3), 255, np.uint8)
+                known = []
                 for i in range(n):
-                    x, y = i % 3 * 100, i // 3 * 80
-                    image[y + 8 : y + 72, x + 8 : x + 92] = 120 + int(key * 7 + i * 31) % 90
-                    labels.append({"letter": chr(65 + i), "x": x + 10.0, "y": y + 10.0, "w": 8.0, "h": 10.0})
-                rows.append((key, image.shape[0], image.shape[1], image.tobytes(), labels))
+                    x, y = i % 3 * 130, i // 3 * 120
+                    image[y + 28 : y + 108, x + 28 : x + 122] = 150 + int(key * 7 + i * 31) % 50
+                    stamp = stamps.value[labels.UPPER[i % 26]] > 0
+                    image[y + 6 : y + 18, x + 6 : x + 18][stamp] = 0
+                    ys, xs = np.nonzero(stamp)
+                    known.append({"letter": labels.UPPER[i % 26], "x": x + 6.0 + xs.min(), "y": y + 6.0 + ys.min(), "w": 1.0 + xs.max() - xs.min(), "h": 1.0 + ys.max() - ys.min()})
+                rows.append((key, image.shape[0], image.shape[1], image.tobytes(), known))
             yield pd.DataFrame(rows, columns=["key", "height", "width", "data", "labels"])
 
     return spread(figures).mapInPandas(draw, "key bigint, height int, width int, data binary, labels array<struct<letter:string,x:double,y:double,w:double,h:double>>")

@@ -35,7 +35,12 @@ def content_mask(image: np.ndarray) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """x, y, w, h, area of each 8-connected component, in reading order of their first pixels; by runs and union-find."""
+    """x, y, w, h, area of each 8-connected component, in reading order of their first pixels."""
+    return component_map(mask)[0]
+
+
+def component_map(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The boxes of components(), and for each pixel the number of its component or -1; by runs and union-find."""
     runs, parent = [], []
 
     def root(i: int) -> int:
@@ -66,7 +71,10 @@ def components(mask: np.ndarray) -> np.ndarray:
     for i, (y, a, b) in enumerate(runs):
         o = boxes.setdefault(root(i), [a, y, b, y + 1, 0])
         o[0], o[2], o[3], o[4] = min(o[0], a), max(o[2], b), y + 1, o[4] + b - a
-    return np.array([[x0, y0, x1 - x0, y1 - y0, n] for x0, y0, x1, y1, n in boxes.values()], dtype=np.int64).reshape(-1, 5)
+    owner, number = np.full(mask.shape, -1, np.int32), {r: k for k, r in enumerate(boxes)}
+    for i, (y, a, b) in enumerate(runs):
+        owner[y, a:b] = number[root(i)]
+    return np.array([[x0, y0, x1 - x0, y1 - y0, n] for x0, y0, x1, y1, n in boxes.values()], dtype=np.int64).reshape(-1, 5), owner
 
 
 def normalize_glyph(mask: np.ndarray, size: int = GLYPH) -> np.ndarray:

@@ -28,13 +28,13 @@ def caption_owners(spark, sf_dir):
 
 def block_neighbors(spark, sf_dir):
     """Blocks of one figure."""
-    return m.neighbors(fixtures.images(spark, sf_dir), fixtures.captions(spark, sf_dir))
+    return m.neighbors(*fixtures.pages(spark, sf_dir))
 
 
 def block_clusters(spark, sf_dir):
     """Connected blocks and their common rectangle."""
-    images = fixtures.images(spark, sf_dir)
-    return m.clusters(images, m.neighbors(images, fixtures.captions(spark, sf_dir)))
+    images, captions = fixtures.pages(spark, sf_dir)
+    return m.clusters(images, m.neighbors(images, captions))
 
 
 def caption_above(spark, sf_dir):
@@ -57,7 +57,7 @@ def caption_previous_page(spark, sf_dir):
 
 def caption_rows(spark, sf_dir):
     """Captions side by side matched to images by place."""
-    return m.row_match(fixtures.images(spark, sf_dir), fixtures.captions(spark, sf_dir))
+    return m.row_match(*fixtures.pages(spark, sf_dir))
 
 
 def consume_once(spark, sf_dir):
@@ -121,7 +121,7 @@ n AS (
       AND c.y0 >= CASE WHEN ay0 <= by0 THEN ay1 ELSE by1 END - 4 AND c.y1 <= greatest(ay0, by0) + 4
       AND greatest(0, least(greatest(ax1, bx1), c.x1) - greatest(least(ax0, bx0), c.x0)) / greatest(1, least(greatest(ax1, bx1) - least(ax0, bx0), c.x1 - c.x0)) >= 0.30)
   UNION ALL SELECT doc, page, a_id, b_id FROM k WHERE kind = 'row' AND NOT (yo >= 0.45 AND greatest(ax0, bx0) >= CASE WHEN ax0 <= bx0 THEN ax1 ELSE bx1 END AND (
-    SELECT count(DISTINCT c.id) FROM cap c WHERE c.doc = k.doc AND c.page = k.page AND c.y0 - greatest(ay1, by1) BETWEEN -12 AND 105
+    SELECT count(DISTINCT c.kind || c.number) FROM cap c WHERE c.doc = k.doc AND c.page = k.page AND c.y0 - greatest(ay1, by1) BETWEEN -12 AND 105
       AND c.x1 >= least(ax0, bx0) - 24 AND c.x0 <= greatest(ax1, bx1) + 24) >= 2))"""
 _ABOVE = f"""near AS (
   SELECT a.doc, a.page, b.id AS caption_id, a.id AS image_id, b.y0 AS cy, b.x0 AS cx, abs(b.y0 - a.y1) AS gap, abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) AS off

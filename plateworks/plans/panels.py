@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plateworks import fixtures
 from plateworks.operators import matching, panels
-from plateworks.runtime import table
+from plateworks.runtime import Cut, table
 
 
 def glyph_classes(spark, sf_dir):
@@ -73,26 +73,37 @@ def row_segments(spark, sf_dir):
     return rows.groupBy("doc", "page").agg(F.sum("new").alias("rows"), F.count("*").alias("blocks"))
 
 
+def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "figures").dropDuplicates(["figure_no"])
+
+
 def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "figures").dropDuplicates(["figure_no"])
-    return panels.draw_figures(f.select(F.col("figure_no").alias("key"), F.greatest(F.lit(1), F.size("expected_panel_labels")).alias("n")))
+    return panels.draw_figures(_figures(spark, sf_dir).select(F.col("figure_no").alias("key"), F.greatest(F.lit(1), F.size("expected_panel_labels")).alias("n")))
+
+
+def detected_labels(spark, sf_dir):
+    """Letters found in the drawn image of each figure; as many as were drawn, all right."""
+    drawn = _drawn(spark, sf_dir)
+    found = panels.detect_labels(drawn.drop("labels")).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("letter")), "").alias("labels"))
+    return _figures(spark, sf_dir).select(F.col("figure_no").alias("key")).join(found, "key", "left")
 
 
 def split_panels(spark, sf_dir):
-    """Panels of a drawn image for each figure."""
-    return panels.split_images(_drawn(spark, sf_dir))
+    """Panels of the drawn image of each figure, by the letters found in it."""
+    return panels.split_images(_drawn(spark, sf_dir).drop("labels"))
 
 
 def split_records(spark, sf_dir):
     """The splitter's record of each figure."""
-    return panels.split_record(panels.split_images(_drawn(spark, sf_dir)))
+    return panels.split_record(panels.split_images(_drawn(spark, sf_dir).drop("labels")))
 
 
 def composite_decisions(spark, sf_dir):
-    """Composite or not."""
-    drawn = _drawn(spark, sf_dir)
-    f = table(spark, sf_dir, "figures").dropDuplicates(["figure_no"]).select(F.col("figure_no").alias("key"), F.col("expected_panel_labels").alias("labels"))
-    return panels.composite_decision(panels.split_images(drawn), panels.split_images(drawn, "cuts"), f).withColumn("reasons", F.array_join("reasons", ","))
+    """Composite or not; every image is split once."""
+    both = Cut(panels.split_images(_drawn(spark, sf_dir).drop("labels"), "both"), "split").df
+    rows = lambda c: both.select(F.explode(c).alias("r")).select("r.*")
+    f = _figures(spark, sf_dir).select(F.col("figure_no").alias("key"), F.col("expected_panel_labels").alias("labels"))
+    return panels.composite_decision(rows("panels"), rows("cuts"), f).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +143,7 @@ def ocr_penalty(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    glyph_classes, glyph_assignment, rolling_profile, blank_runs, label_endpoint, height_quantiles, row_clusters, row_segments, split_panels, split_records,
+    glyph_classes, glyph_assignment, rolling_profile, blank_runs, label_endpoint, height_quantiles, row_clusters, row_segments, detected_labels, split_panels, split_records,
     composite_decisions, ocr_words, ocr_penalty,
 )}
 
@@ -140,6 +151,8 @@ _P = "p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(floo
 _OCR = """o AS (SELECT l_suppkey AS key, l_partkey * 37 % 500 AS left_, l_orderkey * 53 % 700 AS top_, CAST(l_quantity AS INT) * 2 - 1 AS conf, l_returnflag || l_linenumber AS text
   FROM lineitem WHERE l_linenumber NOT IN (6, 7) AND (CAST(l_quantity AS INT) * 2 - 1 < 0 OR CAST(l_quantity AS INT) * 2 - 1 >= 20))"""
 SQL = {
+    "detected_labels": """WITH f AS (SELECT DISTINCT ON (figure_no) * FROM figures)
+SELECT figure_no AS key, CASE WHEN len(expected_panel_labels) > 1 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', 1, len(expected_panel_labels)) END AS labels FROM f""",
     "glyph_classes": """WITH g AS (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN v > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
 s AS (SELECT a.vec_id, t.vec_id AS t, 2.0::DOUBLE * list_sum(list_transform(list_zip(a.b, t.b), lambda z: z[1] * z[2])) / greatest(1, list_sum(a.b) + list_sum(t.b)) AS similarity
   FROM g a, g t WHERE a.vec_id >= 26 AND t.vec_id < 26)
