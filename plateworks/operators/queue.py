@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plateworks.functions.notation import plain
 
 STATUSES = ("queued", "processing", "completed", "failed")
-METRICS = "figures int, panels int, needs_review int"
+METRICS = "figures int, processed int, panels int, preserved int, mean_confidence double, low_confidence int, extraction_review int, needs_review int"
 UPLOADED, ROOT, ELSEWHERE = "浏览器上传", "根目录", "其他目录"
 RECOVERED = "服务重启后自动恢复"
 

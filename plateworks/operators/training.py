@@ -48,6 +48,41 @@ def yolo_text(boxes: Column, width: Column, height: Column) -> Column:
     return F.array_join(F.transform(F.coalesce(boxes, F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")), line), "")
 
 
+def build_records(figures: DataFrame, panels: DataFrame, sources: DataFrame, collected_at: Column) -> DataFrame:
+    """One training record for each figure, with its panels and issues, image, provenance and whether it is ready.
+
+    figures: job_id, record_id, figure_id, figure_number, caption_kind, caption, image struct, image_sha256, review_status,
+    annotation_mode, annotation_complete, annotation_version, reviewer, reviewed_at. panels: as effective_panels() gives
+    them (job, record, label, box, annotation_source, panel_version, issue). sources: job_id, file_sha256, is_pdf. A figure that isn't to be split
+    has neither panels nor issues; the number of panels is null unless it is ready.
+    """
+    panel = F.struct("label", F.array(*[F.col(f"box.{c}") for c in ("x0", "y0", "x1", "y1")]).alias("bbox_xyxy"), "panel_version", "annotation_source")
+    p = panels.groupBy(F.col("job").alias("job_id"), F.col("record").alias("record_id")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("box").isNotNull(), panel))).alias("_p"), F.array_sort(F.collect_list("issue")).alias("_i")
+    )
+    s = sources.groupBy("job_id").agg(F.max(F.struct("file_sha256", "is_pdf")).alias("_s"))
+    rows = figures.join(p, ["job_id", "record_id"], "left").join(s, "job_id", "left")
+    group = source_group(F.col("_s.file_sha256"), F.coalesce("_s.is_pdf", F.lit(False)), F.col("job_id"))
+    mode = mode_of(F.col("annotation_mode"))
+    whole = mode == "no_split"
+    pan = F.when(whole | F.col("_p").isNull(), F.array().cast(p.schema["_p"].dataType)).otherwise(F.col("_p"))
+    iss = F.when(whole | F.col("_i").isNull(), F.array().cast("array<string>")).otherwise(F.col("_i"))
+    image_id = F.concat(F.lit("img_"), "image_sha256")
+    out = rows.withColumn("image_id", image_id).withColumn("source_group_id", group).withColumn("panels", pan).withColumn("issues", iss).withColumn("annotation_mode", mode)
+    out = out.withColumn("review_status", F.coalesce("review_status", F.lit("proposed"))).withColumn("annotation_complete", F.coalesce("annotation_complete", F.lit(False)))
+    out = out.withColumn("ready_for_training", ready(F.col("review_status"), F.col("annotation_complete"), F.col("annotation_mode"), F.size("panels"), F.size("issues")))
+    return out.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), sample_id(F.col("source_group_id"), F.col("figure_id"), F.col("image_id")).alias("sample_id"), "image_id",
+        F.when(F.coalesce("_s.is_pdf", F.lit(False)), F.concat(F.lit("paper_"), "_s.file_sha256")).alias("paper_id"), "source_group_id", "figure_id", "figure_number", "caption_kind",
+        F.coalesce("caption", F.lit("")).alias("caption"),
+        F.struct("image.file_name", F.concat(F.lit("assets/images/"), "image_id", F.lower(F.regexp_extract("image.file_name", "(\\.[^./]+)$", 1))).alias("collection_path"), "image.width", "image.height", F.col("image_sha256").alias("file_sha256"), F.lit(300).alias("dpi")).alias("image"),
+        F.lit("original_figure_pixels").alias("coordinate_space"), F.lit("xyxy").alias("bbox_format"), F.lit("zero_based_half_open").alias("coordinate_convention"),
+        "review_status", "annotation_mode", "annotation_complete", F.coalesce("annotation_version", F.lit(0)).alias("annotation_version"),
+        F.when(F.col("ready_for_training"), F.size("panels")).alias("human_panel_count"), "reviewer", "reviewed_at", "ready_for_training", "panels", "issues",
+        F.struct("job_id", "record_id", F.col("_s.file_sha256").alias("source_sha256")).alias("provenance"), collected_at.alias("collected_at"),
+    )
+
+
 def manifest(records: DataFrame) -> DataFrame:
     """The manifest entry of each record, with the paths it has in the collection."""
     path = lambda folder, ext, c: F.concat(F.lit(folder), F.col(c), F.lit(ext))
