@@ -51,12 +51,16 @@ def captions(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) ->
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text blocks of documents: one per line, 14 points apart, 50 to a page; (doc, page, id, text, x0, y0, x1, y1)."""
+    """Text blocks of documents: one per line, 14 points apart, 50 to a page; (doc, page, id, text, size, font, x0, y0, x1, y1).
+
+    Every fifth line of a document is printed larger and in another font.
+    """
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     each = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("n", "text")).where("trim(text) <> ''")
     y = (F.col("n") % 50 * 14 + 60).cast("double")
     return each.select(
         "doc", (F.floor(F.col("n") / 50) + 1).cast("int").alias("page"), (F.col("n") % 50).cast("int").alias("id"), "text",
+        F.when(F.col("n") % 5 == 4, 12.0).otherwise(9.0).alias("size"), F.when(F.col("n") % 5 == 4, "ABCDEF+Sans-Bold").otherwise("Serif-Regular").alias("font"),
         F.lit(70.0).alias("x0"), y.alias("y0"), (F.lit(70.0) + F.least(F.length("text"), F.lit(90)) * 5).alias("x1"), (y + 12).alias("y1"),
     )
 

@@ -16,6 +16,8 @@ from plateworks.runtime import ship
 
 #: Least overlap of a continuing block, and what counts as well aligned.
 LEAST_OVERLAP, WELL_ALIGNED = 0.35, 0.62
+#: Sizes of print that may differ, in points and as a share, and how far another font family may.
+SIZE_POINTS, SIZE_SHARE, OTHER_FAMILY = 1.25, 0.16, 0.6
 #: Words that begin sections, and words that carry a sentence on.
 SECTIONS = "(?i)^(?:abstract|introduction|methods?|results?|discussion|conclusions?|references?|acknowledg(?:e)?ments?)\\b"
 CARRIERS = "(?i)^(?:and|or|where|whereas|which|with|without|for|from|of|to|in|on|the|a|an)\\b"
@@ -26,10 +28,27 @@ INLINE = (
 )
 
 
+def _alike(cap: dict, block: dict) -> bool:
+    """Whether the print of a block may be that of the caption's first block; what isn't known tells nothing."""
+    a, b = cap["size"] or 0, block["size"] or 0
+    if a <= 0 or b <= 0:
+        return True
+    apart = abs(a - b)
+    other = cap["family"] and block["family"] and cap["family"] != block["family"]
+    return apart <= max(SIZE_POINTS, SIZE_SHARE * a) and not (other and apart > OTHER_FAMILY)
+
+
+def _styled(df: DataFrame) -> DataFrame:
+    """df with size and font; null where it has none."""
+    for c, kind in (("size", "double"), ("font", "string")):
+        df = df if c in df.columns else df.withColumn(c, F.lit(None).cast(kind))
+    return df
+
+
 def _continues(cap: dict, block: dict, most: float) -> bool:
     """Whether a block goes on with a caption: close below, in its column, no heading, no paragraph after a finished short caption."""
     gap = block["y0"] - cap["y1"]
-    if block["heading"] or block["starts"] or not -2 <= gap <= most:
+    if block["heading"] or block["starts"] or not -2 <= gap <= most or not _alike(cap, block):
         return False
     done = len(cap["text"]) < 220 and re.search(FINISHED, cap["text"])
     if done and gap >= 1.5 and len(block["text"]) >= 105 and len(block["text"].split()) >= 16:
@@ -40,20 +59,20 @@ def _continues(cap: dict, block: dict, most: float) -> bool:
 
 
 def merge_blocks(blocks: DataFrame, gap: float = 14.0) -> DataFrame:
-    """(doc, page, id, blocks, text, x0, y0, x1, y1): captions with the blocks that go on with them.
+    """(doc, page, id, blocks, text, size, font, x0, y0, x1, y1): captions with the blocks that go on with them.
 
-    blocks: doc, page, id, text and a rectangle, in reading order by y0, x0, id. What a caption has gathered so
+    blocks: doc, page, id, text and a rectangle, in reading order by y0, x0, id, with size and font of the print if they are known. What a caption has gathered so
     far decides about the next block, so each page is a fold; the text tests run before it on the JVM.
     """
     kind = {f.name: f.dataType.simpleString() for f in blocks.schema}
-    rows = blocks.select(
-        "doc", "page", "id", tx.clean_text(F.col("text")).alias("text"), "x0", "y0", "x1", "y1", tx.looks_like_heading(F.col("text")).alias("heading"),
+    rows = _styled(blocks).select(
+        "doc", "page", "id", F.col("size").cast("double").alias("size"), "font", tx.font_family(F.col("font")).alias("family"), tx.clean_text(F.col("text")).alias("text"), "x0", "y0", "x1", "y1", tx.looks_like_heading(F.col("text")).alias("heading"),
         F.coalesce(tx.is_formal_caption(tx.clean_text(F.col("text"))), F.lit(False)).alias("starts"),
     ).where("text <> ''")
 
     def work(key: tuple, rows: Iterator[dict]) -> Iterator[tuple]:
         cap = None
-        show = lambda c: (*key, c["id"], c["n"], c["text"], c["x0"], c["y0"], c["x1"], c["y1"])
+        show = lambda c: (*key, c["id"], c["n"], c["text"], c["size"], c["font"], c["x0"], c["y0"], c["x1"], c["y1"])
         for b in rows:
             if cap and _continues(cap, b, gap):
                 cap.update(
@@ -66,18 +85,19 @@ def merge_blocks(blocks: DataFrame, gap: float = 14.0) -> DataFrame:
         if cap:
             yield show(cap)
 
-    schema = f"doc {kind['doc']}, page {kind['page']}, id {kind['id']}, blocks int, text string, x0 double, y0 double, x1 double, y1 double"
+    schema = f"doc {kind['doc']}, page {kind['page']}, id {kind['id']}, blocks int, text string, size double, font string, x0 double, y0 double, x1 double, y1 double"
     return fold_groups(rows, ["doc", "page"], ["y0", "x0", "id"], work, schema)
 
 
 def continuations(captions: DataFrame, blocks: DataFrame, height: float, width: float) -> DataFrame:
     """(doc, page, id, next_id): the block at the top of the next page that goes on with the last caption of a page.
 
-    Scored by the distance of both from the page edge, by how the sentence ends and goes on; at least 3, and no rival within 0.65.
+    Their print must be alike, where captions and blocks have size and font. Scored by the distance of both from the page edge, by how the sentence ends and goes on; at least 3, and no rival within 0.65.
     """
-    last = captions.groupBy("doc", "page").agg(F.max_by(F.struct("id", "text", "x0", "y0", "x1", "y1"), "y1").alias("c")).select("doc", "page", "c.*")
-    a = last.select("doc", (F.col("page") + 1).alias("page"), *[F.col(c).alias(f"a_{c}") for c in ("id", "text", "x0", "y0", "x1", "y1")])
-    top = blocks.where(F.col("y0") <= 0.25 * height).select("doc", "page", *[F.col(c).alias(f"b_{c}") for c in ("id", "text", "x0", "y0", "x1", "y1")])
+    cols = ("id", "text", "x0", "y0", "x1", "y1", "size", "font")
+    last = _styled(captions).groupBy("doc", "page").agg(F.max_by(F.struct(*cols), "y1").alias("c")).select("doc", "page", "c.*")
+    a = last.select("doc", (F.col("page") + 1).alias("page"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    top = _styled(blocks).where(F.col("y0") <= 0.25 * height).select("doc", "page", *[F.col(c).alias(f"b_{c}") for c in cols])
     p, q = Rect.of("a", "_"), Rect.of("b", "_")
     before, after = tx.clean_text(F.col("a_text")), tx.clean_text(F.col("b_text"))
     one = lambda cond, v: F.when(cond, v).otherwise(0.0)
@@ -91,7 +111,8 @@ def continuations(captions: DataFrame, blocks: DataFrame, height: float, width:
         + one(~done, 2.0) - one(done & after.rlike("^\\p{Lu}") & (tx.word_count(after) >= 12), 2.2) + one(F.length(after) <= 400, 0.5)
         + one(after.startswith("(") & (q.y0 <= max(85.0, 0.10 * height)), 3.0)
     )
-    fine = aligned & ~tx.looks_like_heading(F.col("b_text")) & ~after.rlike(SECTIONS) & ~after.rlike(tx.CAPTION)
+    alike = F.coalesce(tx.style_compatible(F.col("a_size"), F.col("a_font"), F.col("b_size"), F.col("b_font")), F.lit(True))
+    fine = aligned & alike & ~tx.looks_like_heading(F.col("b_text")) & ~after.rlike(SECTIONS) & ~after.rlike(tx.CAPTION)
     scored = a.join(top, ["doc", "page"]).where(fine).select("doc", (F.col("page") - 1).alias("page"), "a_id", "b_id", score.alias("score")).where("score >= 3")
     return unless_rival(scored, ["doc", "page", "a_id"], "score", 0.65, ["b_id"]).select("doc", "page", F.col("a_id").alias("id"), F.col("b_id").alias("next_id"))
 

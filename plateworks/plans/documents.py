@@ -94,6 +94,11 @@ QUERIES = {f.__name__: f for f in (
 _R = "r AS (SELECT DISTINCT ON (record_no) * FROM training_records)"
 _F = "f AS (SELECT DISTINCT ON (figure_no) * FROM figures)"
 SQL = {
+    "version_manifests": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job, 'r00' || CAST(event_id % 2 AS VARCHAR) AS record, event_id AS seq, event_type = 'purchase' AS crop,
+  chr(65 + coalesce(try_cast(json_extract_string(props, '$.k') AS INT), 0) % 3) AS label FROM events WHERE event_type IN ('purchase', 'error')),
+v AS (SELECT *, count(*) FILTER (crop) OVER (PARTITION BY job, record, label ORDER BY seq ROWS UNBOUNDED PRECEDING) AS version FROM e)
+SELECT job, record, label, length('{"current_version":' || max(version) || ',"versions":[' || string_agg('{"version":' || version || ',"seq":' || seq || ',"active":' || crop || '}', ',' ORDER BY seq) || ']}') AS chars
+FROM v GROUP BY 1, 2, 3""",
     "reconciled_panels": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job, 'r00' || CAST(event_id % 2 AS VARCHAR) AS record,
   chr(65 + coalesce(try_cast(json_extract_string(props, '$.k') AS INT), 0) % 3) AS label, event_type FROM events WHERE event_type IN ('purchase', 'error')),
 o AS (SELECT job, record, label, CAST(count(*) FILTER (event_type = 'purchase') AS INT) AS v FROM e GROUP BY 1, 2, 3),

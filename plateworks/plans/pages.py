@@ -71,10 +71,11 @@ def merged_layers(spark, sf_dir):
 
 
 def prose_in_regions(spark, sf_dir):
-    """Prose in the lower half of each page of the documents."""
+    """Prose in the upper and the lower half of each page of the documents."""
     lines = fixtures.lines(spark, sf_dir).withColumn("chars", F.length(text.clean_text(F.col("text")))).withColumn("words", text.word_count(F.col("text")))
-    regions = lines.select("doc", "page").distinct().select(
-        "doc", "page", F.lit(1).alias("id"), F.lit(0.0).alias("x0"), F.lit(400.0).alias("y0"), F.lit(W_).alias("x1"), F.lit(H_).alias("y1")
+    low = F.col("id") == 2
+    regions = lines.select("doc", "page").distinct().select("doc", "page", F.explode(F.array(F.lit(1), F.lit(2))).alias("id")).select(
+        "doc", "page", "id", F.lit(0.0).alias("x0"), F.when(low, 400.0).otherwise(0.0).alias("y0"), F.lit(W_).alias("x1"), F.when(low, H_).otherwise(400.0).alias("y1")
     )
     return m.prose_evidence(regions, lines.select("doc", "page", "id", "chars", "words", "x0", "y0", "x1", "y1"), W_)
 
@@ -162,6 +163,22 @@ u AS (SELECT a.doc, a.page, b.id AS caption_id, a.id AS image_id, (a.y0 + a.y1)
   row_number() OVER (PARTITION BY a.doc, a.page, b.id ORDER BY a.x0, a.id) - 1 AS place FROM img a JOIN cap b ON {_ON} AND b.y0 - a.y1 BETWEEN -14 AND 125),
 q AS (SELECT doc, page, caption_id, count(*) AS m FROM u GROUP BY 1, 2, 3 HAVING max(cy) - min(cy) <= 0.35 * greatest(1, max(h)))
 SELECT doc, page, caption_id, image_id FROM p JOIN q USING (doc, page, caption_id) JOIN u USING (doc, page, caption_id, place) WHERE n = m""",
+    "prose_in_regions": """WITH s AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc, CAST(n // 50 + 1 AS INT) AS page, trim(regexp_replace(t, '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+', ' ', 'g')) AS c, n % 50 * 14 + 60 AS y0, least(length(t), 90) * 5 AS w FROM s WHERE trim(t, ' ') <> ''),
+r AS (SELECT DISTINCT doc, page, id, CASE id WHEN 1 THEN 0 ELSE 400 END AS a, CASE id WHEN 1 THEN 400 ELSE 842 END AS b FROM l, (VALUES (1), (2)) v(id)),
+p AS (SELECT r.doc, r.page, r.id, len(string_split(c, ' ')) AS words, greatest(0, least(b, y0 + 12) - greatest(a, y0)) * least(w, 525) / greatest(1.0::DOUBLE, 12 * w) AS share
+  FROM r JOIN l USING (doc, page) WHERE length(c) >= 120 AND len(string_split(c, ' ')) >= 18 AND w >= 107.1),
+g AS (SELECT doc, page, id, count(*) AS paragraphs, sum(words * share) AS weighted FROM p WHERE share >= 0.08 GROUP BY 1, 2, 3)
+SELECT r.doc, r.page, r.id, coalesce(paragraphs, 0) AS paragraphs, coalesce(weighted, 0) AS weighted FROM r LEFT JOIN g USING (doc, page, id)""",
+    "consume_once": f"""WITH RECURSIVE {_FX}, {_ABOVE},
+c AS (SELECT doc, page, caption_id, list(image_id ORDER BY gap, off, image_id) AS wants, row_number() OVER (PARTITION BY doc, page ORDER BY any_value(cy), any_value(cx), caption_id) AS k FROM near GROUP BY 1, 2, 3),
+walk AS (
+  SELECT doc, page, CAST(0 AS BIGINT) AS k, CAST([] AS INT[]) AS taken, CAST(NULL AS INT) AS caption_id, CAST(NULL AS INT) AS image_id FROM (SELECT DISTINCT doc, page FROM c)
+  UNION ALL
+  SELECT w.doc, w.page, c.k, list_append(w.taken, CAST(list_filter(c.wants, lambda z: NOT list_contains(w.taken, CAST(z AS INT)))[1] AS INT)), CAST(c.caption_id AS INT),
+    CAST(list_filter(c.wants, lambda z: NOT list_contains(w.taken, CAST(z AS INT)))[1] AS INT)
+  FROM walk w JOIN c ON c.doc = w.doc AND c.page = w.page AND c.k = w.k + 1)
+SELECT doc, page, caption_id, image_id FROM walk WHERE image_id IS NOT NULL""",
     "visual_evidence": f"""WITH {_FX}, reg AS (SELECT doc, page, id, x0, y0 - 200 AS y0, x1, y0 AS y1 FROM cap),
 h AS (SELECT a.doc, a.page, a.id, count(*) AS n, sum({_I}) AS s FROM reg a JOIN img b ON {_ON} AND {_MEET} AND {_I} / greatest(1, {_AB}) >= 0.5 GROUP BY 1, 2, 3)
 SELECT doc, page, id, coalesce(n, 0) AS rasters, coalesce(s, 0) AS raster_area, coalesce(n, 0) >= 2 OR coalesce(s, 0) >= 0.04 * greatest(1, (x1 - x0) * (y1 - y0)) AS visual

@@ -19,9 +19,9 @@ def glyph_classes(spark, sf_dir):
 
 
 def glyph_assignment(spark, sf_dir):
-    """Letters A to D assigned to the glyphs of an image, which is each block of 8 vectors."""
-    g = table(spark, sf_dir, "embeddings").where("vec_id >= 26").select(
-        F.floor(F.col("vec_id") / 8).alias("image"), F.col("vec_id").alias("glyph"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "v")
+    """Letters A to Z assigned to the glyphs of an image, which is each block of 32 vectors; a number is how well a letter fits."""
+    g = table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 32).alias("image"), F.col("vec_id").alias("glyph"), F.posexplode(F.slice("embedding", 1, 26)).alias("i", "v")
     )
     return panels.assign_glyphs(g.select("image", F.char(F.lit(65) + F.col("i")).alias("letter"), "glyph", (F.lit(0.55) + F.col("v").cast("double")).alias("score")))
 

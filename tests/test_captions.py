@@ -49,3 +49,17 @@ def test_query_reads_the_lines_of_all_documents(spark, tmp_path):
     docs = [(1, line, "caption_sheet"), (2, f"A page.\n{line}\nFig. 3. More", "page_text"), (3, line, "review_note"), (4, line, None), (5, None, "guide"), (6, "See Fig. 3. x", "outreach")]
     spark.createDataFrame(docs, "doc_id long, text string, kind string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(documents.split_captions(spark, str(tmp_path))) == [(1, 2, 2), (2, 3, 2), (3, 2, 2), (4, 2, 2)]
+
+
+def test_print_of_another_size_or_font_ends_a_caption(spark):
+    styled = BLOCK + ", size double, font string"
+    data = [
+        (*line(1, 1, "Figure 1. A map of", 100), 9.0, "AB+Serif-Bold"), (*line(1, 2, "the surface", 114), 9.5, "Serif"), (*line(1, 3, "of cells", 128), 9.9, "Sans"), (*line(1, 4, "and more", 142), 12.0, "Serif"),
+        (*line(2, 1, "Figure 2. A map", 100), 9.0, None), (*line(2, 2, "of cells.", 114), None, "Sans"),
+    ]
+    got = {(r.page, r.id): r.blocks for r in c.merge_blocks(spark.createDataFrame(data, styled)).collect()}
+    assert got == {(1, 1): 2, (2, 1): 2}
+    caps = spark.createDataFrame([(*line(1, 5, "Figure 2. Two coloured panels that", 820), 9.0, "Serif")], styled)
+    for size, n in ((9.2, 1), (14.0, 0), (None, 1)):
+        follow = spark.createDataFrame([(*line(2, 1, "show the same sample.", 30), size, "Serif")], styled)
+        assert c.continuations(caps, follow, 842.0, 595.0).count() == n
