@@ -363,6 +363,7 @@ class Detection:
     candidates: dict[str, np.ndarray]
     alphabet: str
     score: float = -100.0
+    assigned: list[dict] = field(default_factory=list)
 
 
 def detect(every: dict[str, np.ndarray], shape: tuple, alphabet: str, words: Sequence[dict] = (), least: int = 0) -> Detection:
@@ -387,6 +388,7 @@ def detect(every: dict[str, np.ndarray], shape: tuple, alphabet: str, words: Seq
     ]).reshape(n, len(pool))
     taken = pixels.assign_letters(quality)
     found = [_label(c, int(pool[j]), alphabet[k], float(quality[k, j])) for k, j in enumerate(taken) if j >= 0]
+    assigned = [dict(q) for q in found]
 
     found = _prune(found, unit)
     _swap_rows(found, unit, wide)
@@ -399,7 +401,7 @@ def detect(every: dict[str, np.ndarray], shape: tuple, alphabet: str, words: Seq
         found.pop()
     if found:
         n = alphabet.index(found[-1]["letter"]) + 1
-    out = Detection(found, unit, n, presence, c, alphabet)
+    out = Detection(found, unit, n, presence, c, alphabet, assigned=assigned)
     out.score = score(out, wide, high)
     return out
 
@@ -477,3 +479,33 @@ def find_labels(image: np.ndarray, bank: Bank, words: Sequence[dict] = (), mode:
     corner = at_origin(low, wide, high) and not at_origin(up, wide, high) and bool(low.labels) and np.mean([q["quality"] for q in low.labels]) >= 0.92
     prefer = len(low.labels) >= 3 and (low.score > up.score + 0.35 or (corner and low.score >= up.score - 0.40))
     return found[LOWER if prefer else UPPER]
+
+
+def by_caption(d: Detection, expected: Sequence[str], mask: np.ndarray) -> Detection:
+    """The letters of a detection held against those that the caption names, in the case of the alphabet found.
+
+    Letters that were pruned come back if every letter of the caption was assigned clearly and they stand as panel
+    letters do. A longer sequence than the caption's, by two letters or more, holds if it divides the figure well; else
+    letters beyond the caption's last are dropped, provided that all of the caption's are there and nothing else is.
+    """
+    if not expected or not all(len(x) == 1 and x.isascii() and x.isalpha() for x in expected):
+        return d
+    want = [x.upper() if d.alphabet == UPPER else x.lower() for x in expected]
+    have = {q["letter"] for q in d.labels}
+    if not set(want) <= have:
+        by = {q["letter"]: q for q in d.assigned}
+        if all(x in by and by[x]["quality"] >= 0.95 for x in want):
+            again = [by[x] for x in want]
+            xs, ys = zip(*map(_centre, again))
+            high, wide = mask.shape
+            column = max(xs) - min(xs) < 0.16 * wide
+            if min(ys) <= 0.18 * high and not (column and (float(np.median(xs)) > 0.30 * wide or max(ys) - min(ys) < 0.20 * high)):
+                d.labels, d.length = sorted(again, key=lambda q: q["letter"]), len(want)
+        return d
+    if want != list(d.alphabet[: len(want)]) or have == set(want):
+        return d
+    ordered = sorted(have)
+    if len(ordered) >= len(want) + 2 and ordered == list(d.alphabet[: len(ordered)]) and layout_evidence(d, mask)["strong"]:
+        return d
+    d.labels, d.length = [q for q in d.labels if q["letter"] in want], len(want)
+    return d

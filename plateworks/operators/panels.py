@@ -29,7 +29,7 @@ def _cut_image(key: int, image: np.ndarray, known: list[dict], unit: float) -> t
         if len(leaf["letters"]) == 1:
             q = by[leaf["letters"]]
             c, filled = pixels.leaf_confidence(leaf, cuts, q, mask, unit)
-            panels.append((key, leaf["letters"], *map(int, leaf["rect"]), "".join(map(str, leaf["path"])), c, filled, float(q["x"]), float(q["y"]), float(q.get("quality", 0.8)), image.shape[1], image.shape[0]))
+            panels.append((key, leaf["letters"], *pixels.trim_edges(leaf["rect"], q, mask, unit), "".join(map(str, leaf["path"])), c, filled, float(q["x"]), float(q["y"]), float(q.get("quality", 0.8)), image.shape[1], image.shape[0]))
     return panels, [(key, i, c["vertical"], c["pos"], c["density"], c["blank"], c["fallback"], c["depth"]) for i, c in enumerate(cuts)]
 
 
@@ -78,12 +78,13 @@ def detect_labels(images: DataFrame, bank: labels.Bank | None = None, mode: str
 def split_images(images: DataFrame, what: str = "panels", bank: labels.Bank | None = None, mode: str = "auto") -> DataFrame:
     """Panels (or cuts, or both) of each image: key, height, width, data (blue, green, red bytes), and labels, array<struct<letter,x,y,w,h>>, if they are known.
 
-    Without a column of labels the letters are found in the image. `both` gives (key, panels, cuts) as arrays, from
+    Without a column of labels the letters are found in the image, and held against those that a column `expected` names, if there
+    is one. `both` gives (key, panels, cuts) as arrays, from
     one pass. One image at a time in a task; an image that can't be read gives no row. No shuffle.
     """
     spark = images.sparkSession
     ship(spark)
-    given = "labels" in images.columns
+    given, named = "labels" in images.columns, "expected" in images.columns
     shared = None if given else spark.sparkContext.broadcast(bank or labels.template_bank(spark))
     kinds = {"panels": PANEL_SCHEMA, "cuts": CUT_SCHEMA}
     fields = {k: [c.split() for c in v.split(", ")] for k, v in kinds.items()}
@@ -98,6 +99,8 @@ def split_images(images: DataFrame, what: str = "panels", bank: labels.Bank | No
                     unit = float(np.median([q["h"] for q in known]) if known else 10)
                 else:
                     d = labels.find_labels(image, shared.value, (), mode)
+                    if named and r.expected is not None:
+                        d = labels.by_caption(d, list(r.expected), pixels.content_mask(image))
                     known, unit = d.labels, d.unit
                 found = _cut_image(int(r.key), image, known, unit)
                 if what == "both":
@@ -106,12 +109,13 @@ def split_images(images: DataFrame, what: str = "panels", bank: labels.Bank | No
                     rows += found[0] if what == "panels" else found[1]
             yield pd.DataFrame(rows, columns=["key", *kinds] if what == "both" else [n for n, _ in fields[what]])
 
-    return images.select("key", "height", "width", "data", *(["labels"] if given else [])).mapInPandas(run, whole if what == "both" else kinds[what])
+    return images.select("key", "height", "width", "data", *(["labels"] if given else []), *(["expected"] if named else [])).mapInPandas(run, whole if what == "both" else kinds[what])
 
 
 def draw_figures(figures: DataFrame, bank: labels.Bank | None = None) -> DataFrame:
-    """Test images of (key, n): n panels in rows of three, grey blocks on white, each with its letter at the upper left corner."""
+    """Test images of (key, n): n panels in rows of three, grey blocks on white, each with its letter at the upper left corner; a column `expected` goes along."""
     spark = figures.sparkSession
+    named = "expected" in figures.columns
     ship(spark)
     bank = bank or labels.template_bank(spark)
     stamps = spark.sparkContext.broadcast({c: bank.bitmaps[bank.letters.index(c)][::4, ::4] for c in labels.UPPER})
@@ -119,7 +123,7 @@ def draw_figures(figures: DataFrame, bank: labels.Bank | None = None) -> DataFra
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for key, n in zip(b["key"], b["n"]):
+            for key, n, *rest in zip(b["key"], b["n"], *([b["expected"]] if named else [])):
                 across, down = min(3, n), -(-n // 3)
                 image = np.full((down * 120 + 120, across * 130, 3), 255, np.uint8)
                 known = []
@@ -130,10 +134,11 @@ def draw_figures(figures: DataFrame, bank: labels.Bank | None = None) -> DataFra
                     image[y + 6 : y + 18, x + 6 : x + 18][stamp] = 0
                     ys, xs = np.nonzero(stamp)
                     known.append({"letter": labels.UPPER[i % 26], "x": x + 6.0 + xs.min(), "y": y + 6.0 + ys.min(), "w": 1.0 + xs.max() - xs.min(), "h": 1.0 + ys.max() - ys.min()})
-                rows.append((key, image.shape[0], image.shape[1], image.tobytes(), known))
-            yield pd.DataFrame(rows, columns=["key", "height", "width", "data", "labels"])
+                rows.append((key, image.shape[0], image.shape[1], image.tobytes(), known, *rest))
+            yield pd.DataFrame(rows, columns=["key", "height", "width", "data", "labels", *(["expected"] if named else [])])
 
-    return spread(figures).mapInPandas(draw, "key bigint, height int, width int, data binary, labels array<struct<letter:string,x:double,y:double,w:double,h:double>>")
+    schema = "key bigint, height int, width int, data binary, labels array<struct<letter:string,x:double,y:double,w:double,h:double>>"
+    return spread(figures).mapInPandas(draw, schema + (", expected array<string>" if named else ""))
 
 
 def packed(embedding: Column) -> Column:

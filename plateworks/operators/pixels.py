@@ -266,3 +266,30 @@ def leaf_confidence(leaf: dict, cuts: list[dict], label: dict, mask: np.ndarray,
     for bad, factor in ((min(x2 - x1, y2 - y1) < 3 * unit, 0.55), (margin < 0, 0.40), (filled < 0.003, 0.50)):
         value *= factor if bad else 1.0
     return max(0.0, min(1.0, value)), filled
+
+
+#: How empty the strip before a label must be for a trim at the left, above a gap, and above the label's band.
+LEFT_EMPTY, GAP_EMPTY, BAND_EMPTY = 0.06, 0.04, 0.32
+
+
+def trim_edges(rect: tuple, label: dict, mask: np.ndarray, unit: float) -> tuple:
+    """The part of a panel from its label on: what lies before the label at the left or above is cut off where it is nearly empty.
+
+    Left: the strip is some two to four units wide and the label's band in it is empty. Above: a strip of four to ten
+    units with an empty gap over the label, or a low strip over a narrow panel whose label stands at its left edge.
+    """
+    x1, y1, x2, y2 = map(int, rect)
+    lx, ly, lw, lh = (int(label[k]) for k in "xywh")
+    margin, least = max(2, round(0.30 * unit)), max(4.0 * unit, 30.0)
+    blank = lambda a, b, c, d, most: c > a and d > b and float(mask[b:d, a:c].mean()) <= most
+
+    left = max(x1, lx - margin)
+    if 1.8 * unit <= lx - x1 <= 4.0 * unit and left > x1 and x2 - left >= least and blank(x1, max(y1, ly), left, min(y2, ly + lh), LEFT_EMPTY):
+        x1 = left
+    top, lead = max(y1, ly - margin), ly - y1
+    if top > y1 and y2 - top >= least:
+        gap = 4.0 * unit <= lead <= 10.0 * unit and blank(x1, max(y1, round(top - 0.75 * unit)), x2, min(y2, round(top - 0.15 * unit)), GAP_EMPTY)
+        low = 1.25 * unit <= lead <= 2.2 * unit and x2 - x1 <= 12.0 * unit and lx - x1 <= 0.90 * unit
+        if gap or (low and blank(max(x1, round(lx - 0.25 * unit)), y1, min(x2, round(lx + lw + 0.60 * unit)), top, BAND_EMPTY)):
+            y1 = top
+    return x1, y1, x2, y2

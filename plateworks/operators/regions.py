@@ -199,3 +199,126 @@ def merge_rank(group: Rect, part: Rect, caption: Rect, width: float, height: flo
     row = (yo >= 0.58) & (ratio(group.height, part.height) >= 0.32) & (gx <= most_x)
     rank = lambda g, o, f: F.struct(g.alias("gap"), (-o).alias("overlap"), f.alias("off"))
     return F.when(rects.same_side(caption, group, part), F.when(column, rank(gy, xo, dx / max(1.0, width))).when(row, rank(gx + 5, yo, dy / max(1.0, height))))
+
+
+def caption_columns(captions: DataFrame, blocks: DataFrame, page: Rect) -> DataFrame:
+    """captions with left and right of the column that each stands in.
+
+    Pages with two paragraphs or more in both halves have two columns, as wide as their paragraphs; a wide caption, or one on
+    any other page, has the whole width. blocks: rectangles with text.
+    """
+    width = page.x1 - page.x0
+    middle, r = (page.x0 + page.x1) / 2, Rect.of()
+    t = clean_text(F.col("text"))
+    prose = blocks.where((F.length(t) >= 85) & (F.size(F.split(t, " ")) >= 12) & r.width.between(width * 0.20, width * 0.62))
+    half = F.when(r.cx <= middle - width * 0.07, 0).when(r.cx >= middle + width * 0.07, 1)
+    one = lambda k: (F.count_if(half == k).alias(f"_n{k}"), F.min(F.when(half == k, r.x0)).alias(f"_a{k}"), F.max(F.when(half == k, r.x1)).alias(f"_b{k}"))
+    sides = prose.groupBy(*PAGE).agg(*one(0), *one(1))
+    rows = captions.join(sides, list(PAGE), "left")
+    whole = (r.width >= width * 0.52) | ~F.coalesce((F.col("_n0") >= 2) & (F.col("_n1") >= 2), F.lit(False))
+    near = r.cx < middle
+    a, b = (F.when(near, F.col(f"_{k}0")).otherwise(F.col(f"_{k}1")) for k in "ab")
+    return rows.select(
+        *captions.columns, F.when(whole, page.x0 + 34).otherwise(F.greatest(page.x0 + 24, a - 8)).alias("left"), F.when(whole, page.x1 - 34).otherwise(F.least(page.x1 - 24, b + 8)).alias("right")
+    )
+
+
+def fallback_regions(captions: DataFrame, blocks: DataFrame, page: Rect, least: float = FIGURE_SIDES[1]) -> DataFrame:
+    """(doc, page, id, x0, y0, x1, y1): where the figure of a caption must be if nothing is drawn: its column, up to the next caption or paragraph.
+
+    Above the caption if there is as much room as below, else below; at least `least` high. captions: with left and right
+    (caption_columns()). The blocks of a caption's page that part regions are gone through from the far end of the page.
+    """
+    from plateworks.functions.text import CAPTION
+
+    t = clean_text(F.col("text"))
+    parts = blocks.where(t.rlike(CAPTION) | ((F.length(t) >= 110) & (F.size(F.split(t, " ")) >= 16))).select(*PAGE, "id", "x0", "y0", "x1", "y1")
+    a, b = Rect.of("a", "_"), Rect.of("b", "_")
+    wide = captions.select(*PAGE, "id", F.col("left").alias("x0"), page.y0.alias("y0"), F.col("right").alias("x1"), page.y1.alias("y1"), F.col("y0").alias("top"), F.col("y1").alias("low"))
+    room_above, room_below = F.col("top") - page.y0, page.y1 - F.col("low")
+    wide = wide.withColumn("above", (room_above >= least + 20) & ((room_above >= room_below) | (room_below < least + 20)))
+    in_column = near_pairs(tagged(wide, "a"), tagged(parts, "b"), (F.least(a.x1, b.x1) > F.greatest(a.x0, b.x0)) & (b.y0 < b.y1), (0.0, None))
+    far = F.when(F.col("a_above"), b.y1 < F.col("a_top") - 4 - least).otherwise(b.y0 > F.col("a_low") + 4 + least)
+    met = in_column.where(far).groupBy(*PAGE, F.col("a_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct(b.y0.alias("y0"), b.x0.alias("x0"), b.y1.alias("y1")))).alias("s"))
+    rows = wide.join(met, [*PAGE, "id"], "left")
+    s = F.coalesce("s", F.array().cast("array<struct<y0:double,x0:double,y1:double>>"))
+    down = F.aggregate(s, page.y0 + 36, lambda acc, x: F.when(x["y1"] > acc, x["y1"] + 6).otherwise(acc))
+    up = F.aggregate(s, page.y1 - 36, lambda acc, x: F.when(x["y0"] < acc, x["y0"] - 6).otherwise(acc))
+    bottom, top = F.col("top") - 4, F.col("low") + 4
+    y0 = F.when(F.col("above"), F.when(bottom - down < least, F.greatest(page.y0 + 30, bottom - least)).otherwise(down)).otherwise(top)
+    y1 = F.when(F.col("above"), bottom).otherwise(F.when(up - top < least, F.least(page.y1 - 30, top + least)).otherwise(up))
+    return rows.select(*PAGE, "id", "x0", y0.alias("y0"), "x1", y1.alias("y1"))
+
+
+#: How far figures and schemes may grow, in points and as a share of their side, and the room for context and drawings.
+GROWTH, LEAST_GROWTH, GROWTH_SHARE, CONTEXT, DRAWN = 54.0, 26.0, 0.14, 24.0, 14.0
+
+
+def grow_regions(regions: DataFrame, captions: DataFrame, marks: DataFrame, page: tuple[float, float, float, float], rounds: int = 2) -> DataFrame:
+    """(doc, page, id, x0, y0, x1, y1): regions with the labels, short texts and drawings just outside of them.
+
+    regions: id is that of the caption too. marks: rectangles with `kind`, one of label, text and drawing. A region grows twice at most
+    through marks in reading order, inside a frame around it that ends at its caption; labels may be farther off than texts, texts must
+    lie along an edge, drawings quite near. What it gathered decides about the next mark, so each page is a fold.
+    """
+    cols = [*PAGE, "part", "id", "kind", "x0", "y0", "x1", "y1"]
+    kind = {f.name: f.dataType.simpleString() for f in regions.schema}
+    rows = regions.withColumn("part", F.lit(2)).withColumn("kind", F.lit("")).select(*cols)
+    rows = rows.unionByName(captions.withColumn("part", F.lit(0)).withColumn("kind", F.lit("")).select(*cols)).unionByName(marks.withColumn("part", F.lit(1)).select(*cols))
+
+    def work(key: tuple, own: Iterator[dict]) -> Iterator[tuple]:
+        caps, near = {}, []
+        for r in own:
+            box = (r["x0"], r["y0"], r["x1"], r["y1"])
+            if r["part"] == 0:
+                caps[r["id"]] = box
+            elif r["part"] == 1:
+                near.append((r["kind"], box))
+            else:
+                yield (*key, r["id"], *_grown(box, caps.get(r["id"]), near, page, rounds))
+
+    schema = f"doc {kind['doc']}, page {kind['page']}, id {kind['id']}, x0 double, y0 double, x1 double, y1 double"
+    return fold_groups(rows, PAGE, ["part", "y0", "x0", "id"], work, schema)
+
+
+def _away(box: tuple, base: tuple, caption: tuple | None) -> tuple:
+    """A box cut at the caption on whose side the base lies."""
+    if caption is None:
+        return box
+    x0, y0, x1, y1 = box
+    if caption[1] >= base[3] - 8:
+        y1 = min(y1, max(base[3], caption[1] - 2))
+    elif caption[3] <= base[1] + 8:
+        y0 = max(y0, min(base[1], caption[3] + 2))
+    elif caption[0] >= base[2] - 8:
+        x1 = min(x1, max(base[2], caption[0] - 2))
+    elif caption[2] <= base[0] + 8:
+        x0 = max(x0, min(base[0], caption[2] + 2))
+    return x0, y0, x1, y1
+
+
+def _grown(base: tuple, caption: tuple | None, marks: list, page: tuple, rounds: int) -> tuple:
+    limit = [min(GROWTH, max(LEAST_GROWTH, GROWTH_SHARE * max(1.0, base[k + 2] - base[k]))) for k in (0, 1)]
+    frame = _away((max(page[0], base[0] - limit[0]), max(page[1], base[1] - limit[1]), min(page[2], base[2] + limit[0]), min(page[3], base[3] + limit[1])), base, caption)
+    now = base
+    for _ in range(rounds):
+        before = now
+        for kind, box in marks:
+            gap = [max(0.0, box[k] - now[k + 2], now[k] - box[k + 2]) for k in (0, 1)]
+            shared = [max(0.0, min(box[k + 2], now[k + 2]) - max(box[k], now[k])) for k in (0, 1)]
+            along, close = max(shared) >= 1, max(gap) <= 5
+            if kind == "drawing":
+                fits = max(gap) <= DRAWN and along and min(shared) <= 0
+            else:
+                most = min(60.0, limit[0] if shared[1] > 0 else limit[1]) if kind == "label" else CONTEXT
+                part = max(shared[k] / max(1.0, min(now[k + 2] - now[k], box[k + 2] - box[k])) for k in (0, 1))
+                fits = (along or close) and max(gap) <= most and (kind == "label" or close or part >= 0.30)
+            both = (min(now[0], box[0]), min(now[1], box[1]), max(now[2], box[2]), max(now[3], box[3]))
+            if fits and frame[0] <= both[0] and frame[1] <= both[1] and frame[2] >= both[2] and frame[3] >= both[3]:
+                now = both
+        if now == before:
+            break
+    if max(abs(a - b) for a, b in zip(now, base)) < 0.5:
+        return base
+    pad = max(4.0, min(8.0, 0.012 * min(base[2] - base[0], base[3] - base[1])))
+    return _away((max(page[0], now[0] - pad), max(page[1], now[1] - pad), min(page[2], now[2] + pad), min(page[3], now[3] + pad)), base, caption)

@@ -77,8 +77,9 @@ def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "figures").dropDuplicates(["figure_no"])
 
 
-def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.draw_figures(_figures(spark, sf_dir).select(F.col("figure_no").alias("key"), F.greatest(F.lit(1), F.size("expected_panel_labels")).alias("n")))
+def _drawn(spark: SparkSession, sf_dir: str, expected: bool = False) -> DataFrame:
+    more = [F.col("expected_panel_labels").alias("expected")] if expected else []
+    return panels.draw_figures(_figures(spark, sf_dir).select(F.col("figure_no").alias("key"), F.greatest(F.lit(1), F.size("expected_panel_labels")).alias("n"), *more))
 
 
 def detected_labels(spark, sf_dir):
@@ -99,8 +100,8 @@ def split_records(spark, sf_dir):
 
 
 def composite_decisions(spark, sf_dir):
-    """Composite or not; every image is split once."""
-    both = Cut(panels.split_images(_drawn(spark, sf_dir).drop("labels"), "both"), "split").df
+    """Composite or not, the letters held against the caption's; every image is split once."""
+    both = Cut(panels.split_images(_drawn(spark, sf_dir, True).drop("labels"), "both"), "split").df
     rows = lambda c: both.select(F.explode(c).alias("r")).select("r.*")
     f = _figures(spark, sf_dir).select(F.col("figure_no").alias("key"), F.col("expected_panel_labels").alias("labels"))
     return panels.composite_decision(rows("panels"), rows("cuts"), f).withColumn("reasons", F.array_join("reasons", ","))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plateworks import fixtures
-from plateworks.functions import rects
+from plateworks.functions import rects, text
 from plateworks.functions.rects import Rect
 from plateworks.operators import matching as m
 from plateworks.operators import regions as g
@@ -96,8 +96,38 @@ def block_relations(spark, sf_dir):
     )
 
 
+def _columns(spark, sf_dir):
+    """Lines of documents in two columns, odd documents only; and their captions."""
+    lines = fixtures.lines(spark, sf_dir)
+    right = F.when((F.col("doc") % 2 == 1) & (F.col("id") % 2 == 1), 260.0).otherwise(0.0)
+    two = lines.withColumn("x0", F.col("x0") - 30 + right).withColumn("x1", F.least(F.col("x1"), F.lit(320.0)) - 30 + right)
+    return two, two.where(text.caption_parts(text.clean_text(F.col("text")))["is_caption"])
+
+
+def caption_columns(spark, sf_dir):
+    """The column of each caption."""
+    lines, caps = _columns(spark, sf_dir)
+    return g.caption_columns(caps, lines, SHEET).select("doc", "page", "id", "left", "right")
+
+
+def fallback_regions(spark, sf_dir):
+    """Where the figure of a caption must be if nothing is drawn."""
+    lines, caps = _columns(spark, sf_dir)
+    return g.fallback_regions(g.caption_columns(caps, lines, SHEET), lines, SHEET)
+
+
+def grown_regions(spark, sf_dir):
+    """Blocks grown by words, lines and drawings just outside."""
+    images, captions = fixtures.pages(spark, sf_dir)
+    n = F.col("id") % 3
+    marks = images.withColumn("kind", F.when(n == 0, "label").when(n == 1, "text").otherwise("drawing"))
+    marks = marks.withColumn("x0", F.col("x0") - 18).withColumn("x1", F.col("x0") + 30).withColumn("y0", F.col("y0") - 15).withColumn("y1", F.col("y0") + 12)
+    return g.grow_regions(images, captions, marks, (0.0, 0.0, W_, H_))
+
+
 QUERIES = {f.__name__: f for f in (
     raster_blocks, size_gates, free_candidates, clipped_figures, accepted_regions, next_page_markers, words_in_regions, native_labels, native_evidence, block_relations,
+    caption_columns, fallback_regions, grown_regions,
 )}
 
 _FX = fixtures.SQL
@@ -161,6 +191,14 @@ SELECT key, CASE WHEN near THEN 'pdf_text+cv' ELSE 'cv' END AS source, count(*)
     THEN {_DX} / {W_} WHEN {_YO} >= 0.58 AND {_HR} >= 0.32 AND {_GX} <= greatest(18, least(58, 0.18 * {_NARROW})) THEN {_DY} / {H_} END END AS rank_off
 FROM img a JOIN img b ON {_ON} AND a.id < b.id JOIN cap c ON c.doc = a.doc AND c.page = a.page AND c.id = 1
 WHERE floor((a.x0 - 30) / 200) <= floor(b.x1 / 200) AND floor((a.x1 + 30) / 200) >= floor(b.x0 / 200) AND floor((a.y0 - 60) / 200) <= floor(b.y1 / 200) AND floor((a.y1 + 60) / 200) >= floor(b.y0 / 200)""",
+    "caption_columns": """WITH s AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc, CAST(n // 50 + 1 AS INT) AS page, CAST(n % 50 AS INT) AS id, trim(regexp_replace(t, '[\\t-\\r\\x1c-\\x20\\x{85}\\p{Z}]+', ' ', 'g')) AS c,
+  CASE WHEN doc % 2 = 1 AND n % 50 % 2 = 1 THEN 300 ELSE 40 END AS x0, CASE WHEN doc % 2 = 1 AND n % 50 % 2 = 1 THEN 260 ELSE 0 END + least(70 + least(length(t), 90) * 5, 320) - 30 AS x1 FROM s WHERE trim(t, ' ') <> ''),
+p AS (SELECT doc, page, CASE WHEN (x0 + x1) / 2 <= 297.5 - 41.65 THEN 0 WHEN (x0 + x1) / 2 >= 297.5 + 41.65 THEN 1 END AS half, x0, x1 FROM l WHERE length(c) >= 85 AND len(string_split(c, ' ')) >= 12 AND x1 - x0 BETWEEN 119 AND 368.9),
+h AS (SELECT doc, page, count(*) FILTER (half = 0) AS n0, count(*) FILTER (half = 1) AS n1, min(x0) FILTER (half = 0) AS a0, max(x1) FILTER (half = 0) AS b0, min(x0) FILTER (half = 1) AS a1, max(x1) FILTER (half = 1) AS b1 FROM p GROUP BY 1, 2),
+k AS (SELECT l.*, n0, n1, a0, b0, a1, b1, x1 - x0 >= 309.4 OR NOT coalesce(n0 >= 2 AND n1 >= 2, false) AS whole, (x0 + x1) / 2 < 297.5 AS near FROM l LEFT JOIN h USING (doc, page)
+  WHERE regexp_matches(c, '(?is)^((?:fig(?:ure)?\\.?|图|(?:reaction\\s+)?(?:schemes?|sch)\\.?))\\s*((?:[A-Za-z]?[0-9]+[A-Za-z0-9-]*(?:\\.[0-9]+[A-Za-z0-9-]*)*))'))
+SELECT doc, page, id, CAST(CASE WHEN whole THEN 34 ELSE greatest(24, CASE WHEN near THEN a0 ELSE a1 END - 8) END AS DOUBLE) AS "left", CAST(CASE WHEN whole THEN 561 ELSE least(571, CASE WHEN near THEN b0 ELSE b1 END + 8) END AS DOUBLE) AS "right" FROM k""",
     "next_page_markers": """WITH l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT doc, CAST(n // 50 + 1 AS INT) AS page FROM l WHERE trim(t, ' ') <> '' AND n % 50 % 7 = 3""",
 }

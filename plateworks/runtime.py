@@ -115,12 +115,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores before a costly kernel, if it comes in far fewer partitions than there are cores.
+    """df over all cores before a costly kernel, if it comes in fewer partitions than there are cores.
 
     Large inputs have partitions enough and pass untouched, so only small tables are shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def numbered(df: DataFrame, order: list[str], to: str) -> DataFrame:

@@ -111,3 +111,24 @@ def test_command_line(spark, tmp_path):
     assert [p["letter"] for p in json.loads((out / "layout.json").read_text())["panels"]] == list("ABCD")
     command.main(["folder", f"file://{tmp_path}/in", f"file://{tmp_path}/out"])
     assert spark.read.parquet(f"file://{tmp_path}/out/items").first().item_id == "i000001"
+
+
+def test_regions_grow_by_what_is_near(spark):
+    region = spark.createDataFrame([(1, 1, 1, 100.0, 100.0, 300.0, 300.0), (1, 1, 2, 400.0, 100.0, 500.0, 200.0)], BOX)
+    caption = spark.createDataFrame([(1, 1, 1, 100.0, 310.0, 300.0, 320.0)], BOX)
+    marks = spark.createDataFrame(
+        [(1, 1, 1, 80.0, 110.0, 95.0, 120.0, "label"), (1, 1, 2, 100.0, 302.0, 300.0, 309.0, "text"), (1, 1, 3, 305.0, 100.0, 312.0, 250.0, "drawing"), (1, 1, 4, 345.0, 100.0, 350.0, 250.0, "drawing")],
+        BOX + ", kind string",
+    )
+    got = rows(regions.grow_regions(region, caption, marks, (0.0, 0.0, 600.0, 800.0)))
+    assert got == [(1, 1, 1, 76.0, 96.0, 316.0, 304.0), (1, 1, 2, 400.0, 100.0, 500.0, 200.0)]
+    assert regions.grow_regions(spark.createDataFrame([], BOX), caption, marks, (0.0, 0.0, 600.0, 800.0)).count() == 0
+
+
+def test_fallback_regions_end_at_paragraphs(spark):
+    page = Rect(*[F.lit(v) for v in (0.0, 0.0, 600.0, 800.0)])
+    prose = "word and more of it " * 8
+    blocks = spark.createDataFrame([(1, 1, 1, 40.0, 100.0, 560.0, 150.0, prose), (1, 1, 2, 40.0, 160.0, 560.0, 170.0, "short"), (1, 1, 3, 40.0, 600.0, 560.0, 612.0, "Figure 1. A map"), (1, 2, 4, 40.0, 60.0, 560.0, 72.0, "Figure 2. B")], BOX + ", text string")
+    caps = blocks.where("id >= 3")
+    got = rows(regions.fallback_regions(regions.caption_columns(caps, blocks, page), blocks, page))
+    assert got == [(1, 1, 3, 34.0, 156.0, 566.0, 596.0), (1, 2, 4, 34.0, 76.0, 566.0, 764.0)]

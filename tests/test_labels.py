@@ -98,3 +98,28 @@ def test_images_are_split_without_given_labels(spark, bank):
     assert panels.detect_labels(bad, bank).count() == 0 and panels.split_images(bad, bank=bank).count() == 0
     both = panels.split_images(drawn.drop("labels"), "both", bank).select("key", F.size("panels").alias("p"), F.size("cuts").alias("c"))
     assert {tuple(r) for r in both.collect()} == {(1, 0, 0), (2, 4, 3), (3, 9, 8)}
+
+
+def test_letters_are_held_against_the_caption(bank):
+    image = picture(bank, "ABCDEF")
+    mask = pixels.content_mask(image)
+    letters = lambda d: "".join(q["letter"] for q in d.labels)
+    found = lambda: labels.find_labels(image, bank)
+    assert letters(labels.by_caption(found(), list("abcde"), mask)) == "ABCDE"  # one more is dropped
+    assert letters(labels.by_caption(found(), list("AB"), mask)) == "ABCDEF"  # four more that divide the figure well stay
+    assert letters(labels.by_caption(found(), [], mask)) == letters(labels.by_caption(found(), ["A", "1"], mask)) == "ABCDEF"
+    d = found()
+    d.labels = d.labels[:3]
+    assert letters(labels.by_caption(d, list("ABCDEF"), mask)) == "ABCDEF"  # pruned ones come back
+    assert letters(labels.by_caption(found(), list("ABCDEFGH"), mask)) == "ABCDEF"
+
+
+def test_edges_are_trimmed():
+    mask = np.zeros((300, 300), np.uint8)
+    q = {"x": 40, "y": 70, "w": 8, "h": 10}
+    assert pixels.trim_edges((10, 10, 290, 290), q, mask, 10) == (37, 67, 290, 290)
+    mask[70:80, 10:37] = 1
+    mask[58:66, :] = 1
+    assert pixels.trim_edges((10, 10, 290, 290), q, mask, 10) == (10, 10, 290, 290)
+    assert pixels.trim_edges((30, 52, 100, 290), {"x": 32, "y": 70, "w": 8, "h": 10}, np.zeros((300, 300), np.uint8), 10) == (30, 67, 100, 290)
+    assert pixels.trim_edges((38, 68, 60, 80), q, mask, 10) == (38, 68, 60, 80)
