@@ -36,7 +36,7 @@ _DROP = re.compile(r"['’­​-‍⁠﻿]+")
 _BROKEN = re.compile(r"[-‐‑­][ \t]*\r?\n\s*\Z")
 _HYPHEN = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)+")
 _LINE_END = re.compile(r"[-‐‑­][ \t]*\r?\n")
-_BREAK = re.compile(r"([^\W_]+(?:['’­​-‍⁠﻿]+[^\W_]+)*)[-‐‑­][ \t]*\r?\n\s*([^\W_]+(?:['’­​-‍⁠﻿]+[^\W_]+)*)")
+_BLANK = re.compile(r"\s*")
 
 
 def _plain(raw: str) -> str:
@@ -73,7 +73,7 @@ class ItemSet:
     """A block of items: numbered words, the numbers of each item in a row, sorted hashes of n-grams with their places, compounds."""
 
     def __init__(self, items: list[tuple[int, str]], n: int = N) -> None:
-        self.n = n
+        self.n, self.sieve = n, None
         self.known: dict[str, int] = {}
         self.compounds: dict[str, list[str]] = {}
         self.keys = [key for key, _ in items]
@@ -98,19 +98,34 @@ class ItemSet:
         self.compounds = {c: p for c, p in self.compounds.items() if c not in self.known}
 
     def _quick(self, text: str) -> list[str] | None:
-        """The words of a text without their places; None if only words_of() can tell."""
-        if _LINE_END.search(text):
-            text = _BREAK.sub(self._joined, text)
-            if _LINE_END.search(text):
-                return None  # a word in three parts
+        """The words of a text without their places; None if only words_of() can tell.
+
+        Only the words on both sides of a hyphen at a line end are looked at one by one.
+        """
+        if "\n" in text:
+            kept, at, last = [], 0, -1
+            for m in _LINE_END.finditer(text):
+                i = m.start()
+                if i == 0 or not text[i - 1].isalnum():
+                    continue
+                j = i
+                while j and (text[j - 1].isalnum() or _DROP.match(text[j - 1])):
+                    j -= 1
+                following = _WORD.match(text, _BLANK.match(text, m.end()).end())
+                if following is None:
+                    continue
+                if j <= last:
+                    return None  # a word in three parts
+                last = following.start()
+                if _plain(_WORD.findall(text[j:i])[-1]) + _plain(following.group()) in self.known:
+                    kept.append(text[at:i])
+                    at = last
+            if at:
+                text = "".join(kept) + text[at:]
         plain = text.isascii() and "'" not in text  # then lower case is letter by letter and no word holds a sign
         words = _WORD.findall(text.lower()) if plain else [_plain(w) for w in _WORD.findall(text)]
         return None if self.compounds and not self.compounds.keys().isdisjoint(words) else words
 
-    def _joined(self, m: re.Match) -> str:
-        whole = _plain(m.group(1)) + _plain(m.group(2))
-        return whole if whole in self.known else f"{m.group(1)} {m.group(2)}"
-
     def suspects(self, texts: list[str]) -> list[int]:
         """The places of the texts that hold an n-gram of the set, and perhaps of some more."""
         out, rows, at = set(), [], []
@@ -128,9 +143,16 @@ class ItemSet:
         return sorted(out)
 
     def _in_set(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes are in the set; a sieve of their upper bits, made where it is needed, leaves few to search for."""
+        out = np.zeros(len(h), bool)
         if not len(self.grams):
-            return np.zeros(len(h), bool)
-        return self.grams[np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)] == h
+            return out
+        if self.sieve is None:
+            self.sieve = np.zeros(1 << 22, bool)
+            self.sieve[self.grams >> np.uint64(42)] = True
+        at = np.flatnonzero(self.sieve[h >> np.uint64(42)])
+        out[at] = self.grams[np.minimum(np.searchsorted(self.grams, h[at]), len(self.grams) - 1)] == h[at]
+        return out
 
     def _hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the document and of the items where their n-grams are equal."""
