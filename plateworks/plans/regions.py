@@ -13,14 +13,18 @@ from plateworks.plans import pages
 from plateworks.runtime import table
 
 W_, H_ = fixtures.PAGE_WIDTH, fixtures.PAGE_HEIGHT
-SHEET = Rect(*[F.lit(v) for v in (0.0, 0.0, W_, H_)])
+
+
+def _sheet() -> Rect:
+    """The page."""
+    return Rect(*[F.lit(v) for v in (0.0, 0.0, W_, H_)])
 
 
 def raster_blocks(spark, sf_dir):
     """Blocks of odd ids as rasters, those of even ids, moved down, as placements."""
     images = fixtures.images(spark, sf_dir)
     moved = images.where("id % 2 = 0").withColumn("y0", F.col("y0") + 90).withColumn("y1", F.col("y1") + 90)
-    return g.raster_blocks(images.where("id % 2 = 1"), moved, SHEET)
+    return g.raster_blocks(images.where("id % 2 = 1"), moved, _sheet())
 
 
 def size_gates(spark, sf_dir):
@@ -37,7 +41,7 @@ def free_candidates(spark, sf_dir):
 def clipped_figures(spark, sf_dir):
     """blocks cut by the lower page edge."""
     images = fixtures.images(spark, sf_dir).withColumn("y1", F.col("y1") + 60)
-    return g.clipped_by_page(images.withColumn("y1", F.least("y1", F.lit(H_))).withColumn("y0", F.least("y0", F.lit(H_ - 1))), images, SHEET)
+    return g.clipped_by_page(images.withColumn("y1", F.least("y1", F.lit(H_))).withColumn("y0", F.least("y0", F.lit(H_ - 1))), images, _sheet())
 
 
 def accepted_regions(spark, sf_dir):
@@ -90,7 +94,7 @@ def block_relations(spark, sf_dir):
     near = pairs.join(m.tagged(captions, "c").where("c_id = 1"), ["doc", "page"])
     gap, cut, rank = rects.gap_rect(a, b), rects.clip(b, a), g.merge_rank(a, b, c, W_, H_)
     return near.select(
-        "doc", "page", "a_id", "b_id", rects.same_side(c, a, b).alias("same_side"), rects.background_penalty(rects.union(a, b), SHEET).alias("penalty"),
+        "doc", "page", "a_id", "b_id", rects.same_side(c, a, b).alias("same_side"), rects.background_penalty(rects.union(a, b), _sheet()).alias("penalty"),
         rects.almost_equal(a, b, 25.0).alias("alike"), gap.x0.alias("gap_x0"), gap.y1.alias("gap_y1"), (cut.x1 - cut.x0).alias("cut_width"),
         rank["gap"].alias("rank_gap"), rank["off"].alias("rank_off"),
     )
@@ -107,13 +111,13 @@ def _columns(spark, sf_dir):
 def caption_columns(spark, sf_dir):
     """The column of each caption."""
     lines, caps = _columns(spark, sf_dir)
-    return g.caption_columns(caps, lines, SHEET).select("doc", "page", "id", "left", "right")
+    return g.caption_columns(caps, lines, _sheet()).select("doc", "page", "id", "left", "right")
 
 
 def fallback_regions(spark, sf_dir):
     """Where the figure of a caption must be if nothing is drawn."""
     lines, caps = _columns(spark, sf_dir)
-    return g.fallback_regions(g.caption_columns(caps, lines, SHEET), lines, SHEET)
+    return g.fallback_regions(g.caption_columns(caps, lines, _sheet()), lines, _sheet())
 
 
 def grown_regions(spark, sf_dir):
