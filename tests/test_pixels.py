@@ -68,9 +68,22 @@ def test_glyphs_and_dice():
 def test_leaves_tile_the_figure(spark):
     drawn = panels.draw_figures(spark.createDataFrame([(k, k) for k in range(1, 8)], "key long, n int"))
     got = panels.split_images(drawn).toPandas()
+    pictures, of = {r.key: r for r in drawn.collect()}, {}
+    for key, r in pictures.items():
+        mask = pixels.content_mask(np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3))
+        known = [q.asDict() for q in r.labels]
+        found, _ = pixels.xy_cut(mask, known, float(np.median([q["h"] for q in known])))
+        of[key] = {leaf["letters"]: leaf["rect"] for leaf in found}
     for key, g in got.groupby("key"):
         assert sorted(g.letter) == [chr(65 + i) for i in range(key)]
-        assert ((g.x1 - g.x0) * (g.y1 - g.y0)).sum() == g.image_width.iat[0] * g.image_height.iat[0]
+        leaves = of[key]
+        assert sum((c - a) * (d - b) for a, b, c, d in leaves.values()) == g.image_width.iat[0] * g.image_height.iat[0]
+        # a panel is its leaf, or what is left of it where the strip before the label is empty
+        for r in g.itertuples():
+            a, b, c, d = leaves[r.letter]
+            assert a <= r.x0 and b <= r.y0 and (c, d) == (r.x1, r.y1)
+            whole = np.frombuffer(pictures[key].data, np.uint8).reshape(r.image_height, r.image_width, 3)
+            assert (whole[b : r.y0, a:c] == 255).all() or pixels.content_mask(whole)[b : r.y0, a:c].mean() <= pixels.BAND_EMPTY
         assert g.confidence.between(0, 1).all()
         assert ((g.label_x >= g.x0) & (g.label_x < g.x1) & (g.label_y >= g.y0) & (g.label_y < g.y1)).all()
     broken = drawn.limit(1).selectExpr("key", "height + 5 AS height", "width", "data", "labels")
