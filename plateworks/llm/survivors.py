@@ -10,18 +10,22 @@ partial aggregate that costs one shuffle and never gathers a group. A group in w
 dependencies is solved. For the rest the incumbent is the best single record, candidates that cannot beat
 it even with the best of all other bundles are cut by a join, and the branches that remain are searched
 in an Arrow kernel, best candidates first.
+
+Without dependencies the root is only the bound: a group is solved where one record alone reaches it, and
+the others are searched in the same way. Nothing but the bundles that a record has then tells it from
+others, so of each such set the best record stands for all, and a group of any size is a few branches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateworks.functions.notation import hex_id, squeeze
-from plateworks.runtime import Cut, ship
+from plateworks.operators.folds import fold_groups
+from plateworks.runtime import Cut
 
 #: Fillers that stand for no value, without their punctuation.
 FILLERS = (
@@ -79,24 +83,27 @@ def candidates(records: DataFrame, key: Column, record: str, trust: Sequence[Col
     ).where("key IS NOT NULL AND record IS NOT NULL")
 
 
-def best_by_bundle(rows: DataFrame, bundles: Sequence[str]) -> DataFrame:
-    """The root: per key the best record and, of each bundle, the best candidate as struct(trust, record, value)."""
+def best_by_bundle(rows: DataFrame, bundles: Sequence[str], ends: tuple[str, str] = ("record", "record")) -> DataFrame:
+    """The root: per key the best record and, of each bundle, the best candidate as struct(trust, record, value).
+
+    Where a row stands for several records, ends are the columns of the least and the greatest of them.
+    """
     pick = lambda b: F.struct(F.col("trust").alias("trust"), F.col("record").alias("record"), F.col(b).alias("value"))
     return rows.groupBy("key").agg(
-        F.min("record").alias("_lo"),
-        F.max("record").alias("_hi"),
+        F.min(ends[0]).alias("_lo"),
+        F.max(ends[1]).alias("_hi"),
         F.max(F.struct("trust", "record")).alias("_best"),
         *[F.max(F.when(F.col(b).isNotNull(), pick(b))).alias(b) for b in bundles],
     ).where("_lo < _hi").drop("_lo", "_hi")
 
 
-def _search(group: pd.DataFrame, names: Sequence[str], width: int, dependencies: Sequence[tuple[str, str]]) -> dict[str, int]:
-    """Branch-and-bound over one group. Columns: record, t0.., and a value number per bundle (-1: none)."""
+def _search(group: Sequence[Mapping], names: Sequence[str], width: int, dependencies: Sequence[tuple[str, str]]) -> dict[str, int]:
+    """Branch-and-bound over one group. A row holds record, t0.., and a value number per bundle (-1: none)."""
     zero = (0,) * width
     add = lambda a, b: tuple(x + y for x, y in zip(a, b))
-    trust = [tuple(int(x) for x in t) for t in group[[f"t{i}" for i in range(width)]].itertuples(index=False, name=None)]
-    values = {b: group[b].tolist() for b in names}
-    records = group["record"].tolist()
+    trust = [tuple(r[f"t{i}"] for i in range(width)) for r in group]
+    values = {b: [r[b] for r in group] for b in names}
+    records = [r["record"] for r in group]
     best: dict[str, dict[int, tuple]] = {}
     for b in names:
         own = best.setdefault(b, {})
@@ -135,13 +142,55 @@ def _search(group: pd.DataFrame, names: Sequence[str], width: int, dependencies:
             chosen[b] = (r, v)
             step(i + 1, add(total, t), chosen)
             del chosen[b]
-        # a bundle may stay empty where nothing fits
-        step(i + 1, total, chosen)
+        # a bundle may stay empty where nothing fits; one in no dependency always fits
+        if any(b in d for d in dependencies):
+            step(i + 1, total, chosen)
 
     step(0, zero, {})
     return {b: r for b, (r, _) in (top[1] or {}).items()}
 
 
+def best_by_set(rows: DataFrame, bundles: Sequence[str]) -> DataFrame:
+    """Per key and set of bundles that a record has, the best record, and the least and greatest as _first and _last. A bundle is 1 or null."""
+    return (
+        rows.groupBy("key", *[F.when(F.col(b).isNotNull(), F.lit(1)).alias(b) for b in bundles])
+        .agg(F.min("record").alias("_first"), F.max("record").alias("_last"), F.max(F.struct("trust", "record")).alias("m"))
+        .select("key", *bundles, "_first", "_last", F.col("m")["trust"].alias("trust"), F.col("m")["record"].alias("record"))
+    )
+
+
+def _branches(folded: DataFrame, root: DataFrame, names: Sequence[str], dependencies: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(key, bundle, record) of the named bundles: the search of every group of folded, under the bounds of the root.
+
+    Without dependencies every record is a branch of its own, else every value. Without them no bundle stays
+    empty, so a record is sure of its own bundles and of the least candidates of the others.
+    """
+    width = len(folded.schema["trust"].dataType.fields)
+    total = lambda parts: _sum(parts, width)
+    had = lambda b: F.when(F.col(b).isNotNull(), F.col("trust"))
+    if dependencies:
+        incumbent = folded.groupBy("key").agg(F.max(total([had(b) for b in names])).alias("_floor"))
+    else:
+        least = folded.groupBy("key").agg(*[F.min(had(b)).alias(f"_{b}") for b in names])
+        incumbent = folded.join(least, "key").groupBy("key").agg(F.max(total([F.coalesce(had(b), F.col(f"_{b}")) for b in names])).alias("_floor"))
+    tops = root.select("key", *[F.col(b)["trust"].alias(f"_{b}") for b in names])
+    ahead = folded.join(incumbent, "key").join(tops, "key").where(
+        F.greatest(*[
+            F.when(F.col(b).isNotNull(), total([F.col("trust"), *[F.col(f"_{x}") for x in names if x != b]]) >= F.col("_floor")).otherwise(False).cast("int")
+            for b in names
+        ]) == 1
+    )
+    number = lambda b: F.when(F.col(b).isNull(), F.lit(-1)).otherwise(F.xxhash64(b if dependencies else "record").bitwiseAND(F.lit(2**62 - 1)))
+    flat = ahead.select("key", "record", *[F.col("trust")[f"t{i}"].alias(f"t{i}") for i in range(width)], *[number(b).alias(b) for b in names])
+    kind = folded.schema["record"].dataType.simpleString()
+
+    def search(key: tuple, group: Iterator[dict]) -> Iterator[tuple]:
+        for b, record in _search(list(group), names, width, dependencies).items():
+            yield key[0], b, record
+
+    return fold_groups(flat, ["key"], [], search, f"key string, bundle string, record {kind}")
+
+
 def choose(rows: DataFrame, bundles: Sequence[str], dependencies: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """(key, bundle, record) of the chosen bundles, and bundle `record` for the best record as a whole.
 
@@ -151,18 +200,23 @@ def choose(rows: DataFrame, bundles: Sequence[str], dependencies: Sequence[tuple
     the group gives no row. Repeated rows count once, ties go to the greater record. Nulls: a null key or
     record is left out. An empty table gives an empty result.
     """
-    root = best_by_bundle(rows, bundles)
     entry = lambda b: F.struct(F.lit(b).alias("bundle"), F.col(b)["record"].alias("record"))
     whole = F.struct(F.lit("record").alias("bundle"), F.col("_best")["record"].alias("record"))
     explode = lambda df, names: df.select("key", F.explode(F.array(whole, *map(entry, names))).alias("x")).select("key", "x.*").where("record IS NOT NULL")
+    if not dependencies and len(bundles) < 2:  # one record reaches the bound
+        return explode(best_by_bundle(rows, bundles), bundles)
+
     if not dependencies:
-        return explode(root, bundles)
+        sets = Cut(best_by_set(rows, bundles), "sets").df
+        solved = Cut(best_by_bundle(sets, bundles, ("_first", "_last")), "root").df
+        alone = F.size(F.array_distinct(F.array_compact(F.array(*[F.col(b)["record"] for b in bundles])))) < 2
+        left = solved.where(~alone)
+        found = _branches(sets.drop("_first", "_last").join(left.select("key"), "key", "left_semi"), left, list(bundles))
+        return explode(solved.where(alone), bundles).unionByName(explode(left, [])).unionByName(found)
 
-    ship(rows.sparkSession)
     bound_names = sorted({b for d in dependencies for b in d})
     free = [b for b in bundles if b not in bound_names]
-    width = len(rows.schema["trust"].dataType.fields)
-    solved = Cut(root, "root").df
+    solved = Cut(best_by_bundle(rows, bundles), "root").df
     # a dependency holds at the root if its values occur together in some record; joined by key and values, so a hot key is many keys
     broken = None
     for a, b in dependencies:
@@ -178,22 +232,4 @@ def choose(rows: DataFrame, bundles: Sequence[str], dependencies: Sequence[tuple
     folded = rows.join(broken, "key", "left_semi").groupBy("key", *bound_names).agg(F.max(F.struct("trust", "record")).alias("m")).select(
         "key", *bound_names, F.col("m")["trust"].alias("trust"), F.col("m")["record"].alias("record")
     )
-    total = lambda parts: _sum(parts, width)
-    had = lambda b: F.when(F.col(b).isNotNull(), F.col("trust"))
-    incumbent = folded.groupBy("key").agg(F.max(total([had(b) for b in bound_names])).alias("_floor"))
-    tops = solved.select("key", *[F.col(b)["trust"].alias(f"_{b}") for b in bound_names])
-    ahead = folded.join(incumbent, "key").join(tops, "key").where(
-        F.greatest(*[
-            F.when(F.col(b).isNotNull(), total([F.col("trust"), *[F.col(f"_{x}") for x in bound_names if x != b]]) >= F.col("_floor")).otherwise(False).cast("int")
-            for b in bound_names
-        ]) == 1
-    )
-    number = lambda b: F.when(F.col(b).isNull(), F.lit(-1)).otherwise(F.xxhash64(b).bitwiseAND(F.lit(2**62 - 1)))
-    flat = ahead.select("key", "record", *[F.col("trust")[f"t{i}"].alias(f"t{i}") for i in range(width)], *[number(b).alias(b) for b in bound_names])
-    kind = rows.schema["record"].dataType.simpleString()
-
-    def search(group: pd.DataFrame) -> pd.DataFrame:
-        found = _search(group, bound_names, width, dependencies)
-        return pd.DataFrame({"key": [group["key"].iat[0]] * len(found), "bundle": list(found), "record": list(found.values())})
-
-    return clean.unionByName(rest).unionByName(flat.groupBy("key").applyInPandas(search, f"key string, bundle string, record {kind}"))
+    return clean.unionByName(rest).unionByName(_branches(folded, solved, bound_names, dependencies))

@@ -87,3 +87,58 @@ def test_real_values_and_empty_table(spark):
     assert got == cases
     rows = s.candidates(spark.createDataFrame([], SCHEMA), s.image_key(F.col("image_id")), "record_no", s.review_trust(), {"a": ["caption"], "b": ["reviewer"]})
     assert s.choose(rows, ["a", "b"]).count() == 0 and s.choose(rows, ["a", "b"], [("a", "b")]).count() == 0
+
+
+def scattered(seed, n):
+    """Records whose fields are best in different records: many ties, versions below null, one group with a third of the rows."""
+    r = random.Random(seed)
+    t = [None, datetime(2025, 1, 1, tzinfo=timezone.utc)]
+    return [
+        (
+            k, "img_%064x" % (0 if r.random() < 0.33 else r.randrange(1, n // 4)), r.choice(["verified", "proposed"]), r.choice([True, None]), r.choice([None, -1, -2, 3]), r.choice(t),
+            r.choice([None, f"Fig. {k}"]), r.choice(["?", "figure"]), r.choice([str(k), "-"]), r.choice(["rev-1", " "]), "clash", "x", 0,
+        )
+        for k in range(n)
+    ]
+
+
+FIELDS = {"caption": 6, "caption_kind": 7, "figure_number": 8, "reviewer": 9}
+
+
+def bests(data):
+    """key -> bundle -> record, by sorting."""
+    out = {}
+    for k, v in groups(data).items():
+        v.sort(key=key_of, reverse=True)
+        out[k] = {"record": v[0][0]} | {f: next(r[0] for r in v if r[at] not in FAKE) for f, at in FIELDS.items() if any(r[at] not in FAKE for r in v)}
+    return out
+
+
+def test_found_comes_out_of_the_search(spark, tmp_path, monkeypatch):
+    from plateworks.llm.queries import p3_found
+
+    data = scattered(5, 300)
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/training_records.parquet")
+    want = bests(data)
+    assert {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()} == {(k, f, n) for k, v in want.items() for f, n in v.items()}
+    # with a search that finds record -1 everywhere, only groups that one record solves keep their fields
+    monkeypatch.setattr(s, "_search", lambda _, names, *__: dict.fromkeys(names, -1))
+    alone = {k for k, v in want.items() if len({n for f, n in v.items() if f != "record"}) < 2}
+    assert 0 < len(alone) < len(want)
+    kept = {(k, f, n) for k, v in want.items() for f, n in v.items() if f == "record" or k in alone}
+    assert {tuple(r) for r in p3_found(spark, str(tmp_path)).collect()} == kept | {(k, f, -1) for k in want.keys() - alone for f in FIELDS}
+
+
+def test_search_of_a_large_group_is_a_few_branches(spark):
+    data = scattered(6, 2000)
+    rows = s.candidates(spark.createDataFrame(data, SCHEMA), s.image_key(F.col("image_id")), "record_no", s.review_trust(), {f: [f] for f in FIELDS})
+    sets = s.best_by_set(rows, list(FIELDS))
+    assert rows.groupBy("key").count().agg(F.max("count")).first()[0] > 600
+    assert sets.groupBy("key").count().agg(F.max("count")).first()[0] <= 16
+    got = {}
+    for k, b, n in s._branches(sets.drop("_first", "_last"), s.best_by_bundle(sets, list(FIELDS), ("_first", "_last")), list(FIELDS)).collect():
+        got.setdefault(k, {})[b] = n
+    want = {k: {f: n for f, n in v.items() if f != "record"} for k, v in bests(data).items()}
+    assert got == {k: v for k, v in want.items() if v}
+    one = s.choose(rows, ["caption"]).where("bundle = 'caption'").collect()
+    assert {(r[0], r[2]) for r in one} == {(k, v["caption"]) for k, v in want.items() if "caption" in v}
