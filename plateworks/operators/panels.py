@@ -20,9 +20,7 @@ PANEL_SCHEMA = (
 CUT_SCHEMA = "key bigint, n int, vertical boolean, pos int, density double, blank double, fallback boolean, depth int"
 
 
-def _cut_image(key: int, image: np.ndarray, known: list[dict], unit: float) -> tuple[list[tuple], list[tuple]]:
-    mask = pixels.content_mask(image)
-    leaves, cuts = pixels.xy_cut(mask, known, unit)
+def _cut_image(key: int, image: np.ndarray, mask: np.ndarray, known: list[dict], unit: float, leaves: list[dict], cuts: list[dict]) -> tuple[list[tuple], list[tuple]]:
     by = {q["letter"]: q for q in known}
     panels = []
     for leaf in leaves:
@@ -94,15 +92,17 @@ def split_images(images: DataFrame, what: str = "panels", bank: labels.Bank | No
         for pictures in _pictures(batches):
             rows = []
             for r, image in pictures:
+                mask = pixels.content_mask(image)
                 if given:
                     known = _dicts(r.labels)
                     unit = float(np.median([q["h"] for q in known]) if known else 10)
+                    parts = pixels.xy_cut(mask, known, unit)
                 else:
-                    d = labels.find_labels(image, shared.value, (), mode)
+                    d = labels.find_labels(image, shared.value, (), mode, mask)
                     if named and r.expected is not None:
-                        d = labels.by_caption(d, list(r.expected), pixels.content_mask(image))
-                    known, unit = d.labels, d.unit
-                found = _cut_image(int(r.key), image, known, unit)
+                        d = labels.by_caption(d, list(r.expected), mask)
+                    known, unit, parts = d.labels, d.unit, d.divided(mask)
+                found = _cut_image(int(r.key), image, mask, known, unit, *parts)
                 if what == "both":
                     rows.append((int(r.key), *([dict(zip([n for n, _ in fields[k]], x)) for x in own] for k, own in zip(kinds, found))))
                 else:
@@ -112,6 +112,35 @@ def split_images(images: DataFrame, what: str = "panels", bank: labels.Bank | No
     return images.select("key", "height", "width", "data", *(["labels"] if given else []), *(["expected"] if named else [])).mapInPandas(run, whole if what == "both" else kinds[what])
 
 
+#: Bytes of pictures that a task draws before it hands them on; a batch of rows that are small before they are drawn has thousands of them.
+DRAWN_BYTES = 4 << 20
+
+
+def _draw(batches: Iterator[pd.DataFrame], stamps: dict[str, np.ndarray], named: bool) -> Iterator[pd.DataFrame]:
+    """The pictures of batches of (key, n), in frames of about DRAWN_BYTES, however many rows a batch has."""
+    names = ["key", "height", "width", "data", "labels", *(["expected"] if named else [])]
+    for b in batches:
+        rows, held = [], 0
+        for key, n, *rest in zip(b["key"], b["n"], *([b["expected"]] if named else [])):
+            across, down = min(3, n), -(-n // 3)
+            image = np.full((down * 120 + 120, across * 130, 3), 255, np.uint8)
+            known = []
+            for i in range(n):
+                x, y = i % 3 * 130, i // 3 * 120
+                image[y + 28 : y + 108, x + 28 : x + 122] = 150 + int(key * 7 + i * 31) % 50
+                stamp = stamps[labels.UPPER[i % 26]] > 0
+                image[y + 6 : y + 18, x + 6 : x + 18][stamp] = 0
+                ys, xs = np.nonzero(stamp)
+                known.append({"letter": labels.UPPER[i % 26], "x": x + 6.0 + xs.min(), "y": y + 6.0 + ys.min(), "w": 1.0 + xs.max() - xs.min(), "h": 1.0 + ys.max() - ys.min()})
+            rows.append((key, image.shape[0], image.shape[1], image.tobytes(), known, *rest))
+            held += image.nbytes
+            if held >= DRAWN_BYTES:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+
 def draw_figures(figures: DataFrame, bank: labels.Bank | None = None) -> DataFrame:
     """Test images of (key, n): n panels in rows of three, grey blocks on white, each with its letter at the upper left corner; a column `expected` goes along."""
     spark = figures.sparkSession
@@ -121,21 +150,7 @@ def draw_figures(figures: DataFrame, bank: labels.Bank | None = None) -> DataFra
     stamps = spark.sparkContext.broadcast({c: bank.bitmaps[bank.letters.index(c)][::4, ::4] for c in labels.UPPER})
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for key, n, *rest in zip(b["key"], b["n"], *([b["expected"]] if named else [])):
-                across, down = min(3, n), -(-n // 3)
-                image = np.full((down * 120 + 120, across * 130, 3), 255, np.uint8)
-                known = []
-                for i in range(n):
-                    x, y = i % 3 * 130, i // 3 * 120
-                    image[y + 28 : y + 108, x + 28 : x + 122] = 150 + int(key * 7 + i * 31) % 50
-                    stamp = stamps.value[labels.UPPER[i % 26]] > 0
-                    image[y + 6 : y + 18, x + 6 : x + 18][stamp] = 0
-                    ys, xs = np.nonzero(stamp)
-                    known.append({"letter": labels.UPPER[i % 26], "x": x + 6.0 + xs.min(), "y": y + 6.0 + ys.min(), "w": 1.0 + xs.max() - xs.min(), "h": 1.0 + ys.max() - ys.min()})
-                rows.append((key, image.shape[0], image.shape[1], image.tobytes(), known, *rest))
-            yield pd.DataFrame(rows, columns=["key", "height", "width", "data", "labels", *(["expected"] if named else [])])
+        yield from _draw(batches, stamps.value, named)
 
     schema = "key bigint, height int, width int, data binary, labels array<struct<letter:string,x:double,y:double,w:double,h:double>>"
     return spread(figures).mapInPandas(draw, schema + (", expected array<string>" if named else ""))

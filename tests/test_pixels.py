@@ -2,6 +2,7 @@ import itertools
 from collections import deque
 
 import numpy as np
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -90,6 +91,15 @@ def test_leaves_tile_the_figure(spark):
     assert panels.split_images(broken).count() == 0
 
 
+def test_pictures_are_drawn_in_small_frames():
+    stamps = {chr(65 + i): np.ones((12, 12), np.uint8) for i in range(26)}
+    rows = pd.DataFrame({"key": range(100), "n": [k % 5 + 1 for k in range(100)]})
+    frames = list(panels._draw(iter([rows, rows[:0]]), stamps, False))
+    one = max(len(x) for f in frames for x in f.data)
+    assert [k for f in frames for k in f.key] == list(range(100))
+    assert len(frames) > 3 and max(f.data.map(len).sum() for f in frames) <= panels.DRAWN_BYTES + one
+
+
 def test_composite_decision(spark):
     drawn = panels.draw_figures(spark.createDataFrame([(4, 4), (1, 1)], "key long, n int"))
     want = spark.createDataFrame([(4, ["A", "B", "C", "D"]), (1, []), (9, ["A", "B"])], "key long, labels array<string>")
