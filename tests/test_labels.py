@@ -123,3 +123,15 @@ def test_edges_are_trimmed():
     assert pixels.trim_edges((10, 10, 290, 290), q, mask, 10) == (10, 10, 290, 290)
     assert pixels.trim_edges((30, 52, 100, 290), {"x": 32, "y": 70, "w": 8, "h": 10}, np.zeros((300, 300), np.uint8), 10) == (30, 67, 100, 290)
     assert pixels.trim_edges((38, 68, 60, 80), q, mask, 10) == (38, 68, 60, 80)
+
+
+def test_an_image_is_cut_once_for_a_list_of_letters(bank, monkeypatch):
+    image, masks, cuts = picture(bank, "ABCDEF"), [], []
+    make, cut = pixels.content_mask, pixels.xy_cut
+    monkeypatch.setattr(pixels, "content_mask", lambda *a: masks.append(a) or make(*a))
+    monkeypatch.setattr(pixels, "xy_cut", lambda *a: cuts.append(a) or cut(*a))
+    mask = pixels.content_mask(image)
+    d = labels.by_caption(labels.find_labels(image, bank, mask=mask), list("ABCDEF"), mask)
+    assert d.divided(mask) == cut(mask, d.labels, d.unit) and (len(masks), len(cuts)) == (1, 1)
+    d = labels.by_caption(d, list("ABCDE"), mask)
+    assert d.divided(mask) == cut(mask, d.labels, d.unit) and "".join(q["letter"] for q in d.labels) == "ABCDE" and (len(masks), len(cuts)) == (1, 2)
