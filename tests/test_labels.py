@@ -135,3 +135,14 @@ def test_an_image_is_cut_once_for_a_list_of_letters(bank, monkeypatch):
     assert d.divided(mask) == cut(mask, d.labels, d.unit) and (len(masks), len(cuts)) == (1, 1)
     d = labels.by_caption(d, list("ABCDE"), mask)
     assert d.divided(mask) == cut(mask, d.labels, d.unit) and "".join(q["letter"] for q in d.labels) == "ABCDE" and (len(masks), len(cuts)) == (1, 2)
+
+
+def test_only_letters_at_the_origin_are_tried_as_a_division(bank, monkeypatch):
+    image, tried = picture(bank, "ABCDEF"), []
+    cut = pixels.xy_cut
+    monkeypatch.setattr(pixels, "xy_cut", lambda *a: tried.append("".join(q["letter"] for q in a[1])) or cut(*a))
+    assert [q["letter"] for q in labels.find_labels(image, bank).labels] == list("ABCDEF") and tried == ["ABCDEF"]
+    monkeypatch.setattr(pixels, "content_mask", None)
+    far = np.full((800, 900, 3), 255, np.uint8)
+    far[200:, 200:] = image
+    assert [q["letter"] for q in labels.find_labels(far, bank).labels] == list("ABCDEF") and tried == ["ABCDEF"]
