@@ -100,6 +100,15 @@ def test_pictures_are_drawn_in_small_frames():
     assert len(frames) > 3 and max(f.data.map(len).sum() for f in frames) <= panels.DRAWN_BYTES + one
 
 
+def test_large_pictures_are_handed_on_alone(spark):
+    stamps = {chr(65 + i): np.ones((12, 12), np.uint8) for i in range(26)}
+    frames = list(panels._draw(iter([pd.DataFrame({"key": [1, 2, 3], "n": [120, 150, 4], "expected": [["A"], [], None]})]), stamps, True))
+    assert [list(f.key) for f in frames] == [[1], [2], [3]] and [len(f.expected.iat[0] or []) for f in frames] == [1, 0, 0]
+    drawn = panels.draw_figures(spark.range(2, 42).selectExpr("id AS key", "CAST(2 + id % 4 AS INT) AS n").coalesce(1))
+    got = panels.split_record(panels.split_images(drawn.drop("labels"))).collect()
+    assert {r.key: (r.labels, r.panel_count) for r in got} == {k: ("ABCDE"[: 2 + k % 4], 2 + k % 4) for k in range(2, 42)}
+
+
 def test_composite_decision(spark):
     drawn = panels.draw_figures(spark.createDataFrame([(4, 4), (1, 1)], "key long, n int"))
     want = spark.createDataFrame([(4, ["A", "B", "C", "D"]), (1, []), (9, ["A", "B"])], "key long, labels array<string>")
